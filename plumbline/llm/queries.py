@@ -5,17 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cminhash, decontam, linededup, packing
+from . import cminhash, decontam, editcount, htmltext, langid, linededup, linerules, packing, secretscan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixture_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    model = langid.fit(docs.where(~held_out).select("text", "lang"))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "langs")
+
+
 def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_line_block_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -29,12 +40,43 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linerules.line_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"),
+    )
+
+
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cminhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-QUERIES = {f.__name__: f for f in (op2_nnls_packing, op5_benchmark_decontamination, op6_line_dedup, op9_circulant_minhash)}
+def op10_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token count, and the count after two edits: twelve characters in its middle are masked, and a line is added at its end."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.length(F.coalesce("text", F.lit("")))
+    middle = F.floor(n / 2)
+    masked = F.struct(middle.alias("start"), (middle + 12).alias("end"), F.lit("[masked]").alias("new"))
+    added = F.struct((n + 8).alias("start"), (n + 8).alias("end"), F.lit("\nReviewed once.").alias("new"))
+    return editcount.count_edits(docs.withColumn("edits", F.array(masked, added)))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixture_langid, op2_nnls_packing, op4_line_block_html, op5_benchmark_decontamination, op6_line_dedup, op7_line_first_quality,
+        op8_token_efficiency_secrets, op9_circulant_minhash, op10_edit_aware_counts,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op5_benchmark_decontamination": r"""
