@@ -29,13 +29,18 @@ CLOSERS = "\"')]}”’»›」』）"
 class Rules:
     """Bounds of the line rules and of the verdicts.
 
-    A line fails when it has no sentence end, when separators or symbols take up
-    too many of its characters or words, when most of its letters are capitals
-    although it is long, when one word makes up most of it, or when a short line
-    holds a phrase of page furniture.
+    A line fails when it has no sentence end (a long line may have them within),
+    when bars part its words as in a menu, when symbols take up too many of its
+    characters, when most of its letters are capitals although it is long, when
+    one word makes up most of it, or when a short line holds a phrase of page
+    furniture.
     """
 
     most_symbols: float = 0.1  # of a line's characters
+    least_bars: int = 3
+    words_per_bar: int = 8  # lines with a bar for so many words or fewer are menus
+    long_line: int = 12  # words; such a line may end without a sentence end
+    words_per_end: int = 60  # if one word in so many has one
     most_capitals: float = 0.7  # of the letters of a line of 4 words or more
     most_one_word: float = 0.5  # of a line of 8 words or more
     furniture_words: int = 16  # longer lines are not furniture
@@ -50,7 +55,7 @@ def _flag(values: bytes) -> np.ndarray:
     return out
 
 
-IS_SYMBOL, IS_UPPER, IS_LOWER = _flag(SYMBOLS), _flag(bytes(range(65, 91))), _flag(bytes(range(97, 123)))
+IS_END, IS_SYMBOL, IS_UPPER, IS_LOWER = _flag(b".!?"), _flag(SYMBOLS), _flag(bytes(range(65, 91))), _flag(bytes(range(97, 123)))
 #: Last bytes of the ends and closers; the whole character is then compared.
 TAIL = tuple(x.encode() for x in (*ENDS, *CLOSERS))
 FURNITURE = re.compile("|".join(map(re.escape, BOILERPLATE)).encode(), re.IGNORECASE)
@@ -113,7 +118,11 @@ def judge(data: np.ndarray, off: np.ndarray, rules: Rules) -> dict[str, np.ndarr
         for k, byte in enumerate(reversed(tail)):
             same = same & (data[np.maximum(stop - 1 - k, 0)] == byte) if len(data) else same
         ended |= same
+    inner = np.concatenate([[0], np.cumsum(IS_END[data[ends - 1]])]) if len(ends) else np.zeros(1, np.int64)
+    ended |= (words >= rules.long_line) & ((inner[w_hi] - inner[w_lo]) * rules.words_per_end >= words)
     fails |= ~ended
+    bars = of_line(data == ord("|"))
+    fails |= (bars >= rules.least_bars) & (bars * rules.words_per_bar >= words)
     # one word for most of a long line: the commonest word is the median of the sorted hashes if it has over half of them
     for i in np.flatnonzero((words >= 8) & ~fails):
         own = h[w_lo[i] : w_hi[i]]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cminhash, decontam, editcount, htmltext, langid, linededup, linerules, packing, secretscan
+from . import cminhash, decontam, editcount, htmltext, langid, linededup, linerules, packing, secretscan, surrogates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_line_block_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -73,7 +77,7 @@ def op10_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_mixture_langid, op2_nnls_packing, op4_line_block_html, op5_benchmark_decontamination, op6_line_dedup, op7_line_first_quality,
+        op1_mixture_langid, op2_nnls_packing, op3_surrogate_pii, op4_line_block_html, op5_benchmark_decontamination, op6_line_dedup, op7_line_first_quality,
         op8_token_efficiency_secrets, op9_circulant_minhash, op10_edit_aware_counts,
     )
 }
