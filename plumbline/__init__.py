@@ -1,0 +1,77 @@
+"""Governed metrics on Spark: models in YAML, sliced by dimension, period and context.
+
+The functions here work on a default workspace, found from the current folder.
+"""
+
+from __future__ import annotations
+
+from typing import Any
+
+from .errors import ConfigError, PlumbError, PushRefused, SchemaMismatch, SemanticsError, SourceError
+from .operators.cleaners import clean, drop_empty, numeric, parse_dates, snake_names, strip_strings
+from .plans.scope import Scope, all_, context, last, not_
+from .session import Workspace, session
+
+__all__ = [
+    "ConfigError", "PlumbError", "PushRefused", "SchemaMismatch", "Scope", "SemanticsError", "SourceError", "Workspace", "all_", "clean", "connect", "context",
+    "drop_empty", "freshness", "land", "last", "mirror", "model", "not_", "numeric", "parse_dates", "pull", "push", "read_csv", "read_excel", "register", "session",
+    "slice", "snake_names", "strip_strings", "use", "workspace",
+]
+
+_default: Workspace | None = None
+
+
+def use(config: Any = None, **parts: Any) -> Workspace:
+    """Make a workspace the default one."""
+    global _default
+    _default = config if isinstance(config, Workspace) else Workspace(config, **parts)
+    return _default
+
+
+def workspace() -> Workspace:
+    return _default or use()
+
+
+def connect():
+    """The Spark session of the default workspace."""
+    return workspace().spark
+
+
+def mirror(*a: Any, **k: Any) -> Any:
+    return workspace().mirror(*a, **k)
+
+
+def freshness() -> Any:
+    return workspace().freshness()
+
+
+def pull(*a: Any, **k: Any) -> Any:
+    return workspace().pull(*a, **k)
+
+
+def land(*a: Any, **k: Any) -> int:
+    return workspace().land(*a, **k)
+
+
+def register(*a: Any, **k: Any) -> Any:
+    return workspace().register(*a, **k)
+
+
+def push(*a: Any, **k: Any) -> int:
+    return workspace().push(*a, **k)
+
+
+def read_csv(*a: Any, **k: Any) -> Any:
+    return workspace().read_csv(*a, **k)
+
+
+def read_excel(*a: Any, **k: Any) -> Any:
+    return workspace().read_excel(*a, **k)
+
+
+def model(*a: Any, **k: Any) -> Any:
+    return workspace().model(*a, **k)
+
+
+def slice(*a: Any, **k: Any) -> Any:
+    return workspace().slice(*a, **k)
