@@ -69,9 +69,9 @@ def _in_plan(docs: DataFrame, rows: list) -> DataFrame:
     by_size: dict[int, dict[int, dict[str, list[str]]]] = {}
     for r in rows:
         by_size.setdefault(r["size"], {}).setdefault(r["hash"], {}).setdefault(r["window"], []).append(r["item_id"])
-    docs = docs.withColumn("_words", words_of())
+    docs = docs.withColumn("__plumb_words", words_of())
     if not by_size:
-        return docs.withColumn("_hits", F.expr("cast(array() as array<struct<start:int,size:int,window:string,items:array<string>>>)"))
+        return docs.withColumn("__plumb_hits", F.expr("cast(array() as array<struct<start:int,size:int,window:string,items:array<string>>>)"))
     buckets = 1 << max(4, len(rows).bit_length())
     entries: list[list[dict]] = [[] for _ in range(buckets)]
     for size, hashed in by_size.items():
@@ -85,32 +85,32 @@ def _in_plan(docs: DataFrame, rows: list) -> DataFrame:
             found.append(_near_hits(words, hashes, size, list(of)))
         return reduce(F.concat, found) if len(found) > 1 else found[0]
 
-    docs = docs.withColumn("_near", bound(F.struct(F.col("_words").alias("w")), lambda s: bound(word_hashes(s["w"]), lambda h: hits(s["w"], h))))
-    checked = F.when(F.size("_near") == 0, F.expr("cast(array() as array<struct<start:int,size:int,window:string,items:array<string>>>)")).otherwise(
+    docs = docs.withColumn("__plumb_near", bound(F.struct(F.col("__plumb_words").alias("w")), lambda s: bound(word_hashes(s["w"]), lambda h: hits(s["w"], h))))
+    checked = F.when(F.size("__plumb_near") == 0, F.expr("cast(array() as array<struct<start:int,size:int,window:string,items:array<string>>>)")).otherwise(
         bound(table, lambda t: F.filter(
-            F.transform("_near", lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), x["window"].alias("window"), F.flatten(F.transform(
+            F.transform("__plumb_near", lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), x["window"].alias("window"), F.flatten(F.transform(
                 F.filter(F.element_at(t, F.pmod(x["hash"], F.lit(buckets)).cast("int") + 1), lambda e: (e["window"] == x["window"]) & (e["size"] == x["size"])), lambda e: e["items"])).alias("items"))),
             lambda x: F.size(x["items"]) >= 0,
         ))
     )
-    return docs.withColumn("_hits", checked).drop("_near")
+    return docs.withColumn("__plumb_hits", checked).drop("__plumb_near")
 
 
 def _by_shuffle(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
     """As _in_plan, for a benchmark of any size: window hashes meet in a join, and hits go back to their row."""
-    key = [F.col("doc_id").alias("_doc"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_row")]
-    starts = docs.select(*key, words_of().alias("_words"))
+    key = [F.col("doc_id").alias("__plumb_doc"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__plumb_row")]
+    starts = docs.select(*key, words_of().alias("__plumb_words"))
     places = None
     for size in sizes:
-        own = starts.select("_doc", "_row", F.explode(_all_windows(F.col("_words"), size)).alias("x")).select("_doc", "_row", "x.start", "x.hash", F.lit(size).alias("size"))
+        own = starts.select("__plumb_doc", "__plumb_row", F.explode(_all_windows(F.col("__plumb_words"), size)).alias("x")).select("__plumb_doc", "__plumb_row", "x.start", "x.hash", F.lit(size).alias("size"))
         places = own if places is None else places.union(own)
-    met = places.join(windows.select("hash", "size").distinct(), ["hash", "size"]).groupBy("_doc", "_row").agg(F.collect_set(F.struct("start", "size")).alias("_at"))
-    words = docs.select(*key, words_of().alias("_words")).dropDuplicates(["_doc", "_row"]).join(met.withColumnsRenamed({"_doc": "_d", "_row": "_r"}), F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")))
-    near = words.select("_doc", "_row", F.explode("_at").alias("x"), "_words").select("_doc", "_row", "x.start", "x.size", F.array_join(F.slice("_words", F.col("x.start"), F.col("x.size")), GLUE).alias("window"))
-    hits = near.join(windows.groupBy("window", "size").agg(F.collect_set("item_id").alias("items")), ["window", "size"]).groupBy("_doc", "_row").agg(F.collect_list(F.struct("start", "size", "window", "items")).alias("_found"))
+    met = places.join(windows.select("hash", "size").distinct(), ["hash", "size"]).groupBy("__plumb_doc", "__plumb_row").agg(F.collect_set(F.struct("start", "size")).alias("__plumb_at"))
+    words = docs.select(*key, words_of().alias("__plumb_words")).dropDuplicates(["__plumb_doc", "__plumb_row"]).join(met.withColumnsRenamed({"__plumb_doc": "__plumb_d", "__plumb_row": "__plumb_r"}), F.col("__plumb_doc").eqNullSafe(F.col("__plumb_d")) & (F.col("__plumb_row") == F.col("__plumb_r")))
+    near = words.select("__plumb_doc", "__plumb_row", F.explode("__plumb_at").alias("x"), "__plumb_words").select("__plumb_doc", "__plumb_row", "x.start", "x.size", F.array_join(F.slice("__plumb_words", F.col("x.start"), F.col("x.size")), GLUE).alias("window"))
+    hits = near.join(windows.groupBy("window", "size").agg(F.collect_set("item_id").alias("items")), ["window", "size"]).groupBy("__plumb_doc", "__plumb_row").agg(F.collect_list(F.struct("start", "size", "window", "items")).alias("__plumb_found"))
     empty = F.expr("cast(array() as array<struct<start:int,size:int,window:string,items:array<string>>>)")
-    out = docs.withColumn("_hash", key[1]).join(hits, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_row")), "left")
-    return out.drop("_doc", "_row", "_hash").withColumn("_words", words_of()).withColumn("_hits", F.coalesce("_found", empty)).drop("_found")
+    out = docs.withColumn("__plumb_hash", key[1]).join(hits, F.col("doc_id").eqNullSafe(F.col("__plumb_doc")) & (F.col("__plumb_hash") == F.col("__plumb_row")), "left")
+    return out.drop("__plumb_doc", "__plumb_row", "__plumb_hash").withColumn("__plumb_words", words_of()).withColumn("__plumb_hits", F.coalesce("__plumb_found", empty)).drop("__plumb_found")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, most_windows: int = 100_000) -> DataFrame:
@@ -137,16 +137,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
         found = _in_plan(docs, rows)
     else:
         found = _by_shuffle(docs, windows, [r["size"] for r in windows.select("size").distinct().collect()])
-    hit = F.array_distinct(F.flatten(F.transform("_hits", lambda x: F.sequence(x["start"], x["start"] + x["size"] - 1))))
-    found = found.withColumn("_hit", F.when(F.size("_hits") > 0, hit).otherwise(F.array().cast("array<int>")))
-    n_words, n_hit = F.size("_words").cast("long"), F.size("_hit").cast("long")
+    hit = F.array_distinct(F.flatten(F.transform("__plumb_hits", lambda x: F.sequence(x["start"], x["start"] + x["size"] - 1))))
+    found = found.withColumn("__plumb_hit", F.when(F.size("__plumb_hits") > 0, hit).otherwise(F.array().cast("array<int>")))
+    n_words, n_hit = F.size("__plumb_words").cast("long"), F.size("__plumb_hit").cast("long")
     pieces = bound(F.split(F.col("text").cast("string"), WORD_ANY_CASE, -1), lambda gaps: bound(
         F.regexp_extract_all(F.col("text").cast("string"), F.lit(f"({WORD_ANY_CASE})"), F.lit(1)),
-        lambda own: F.concat(F.element_at(gaps, 1), F.array_join(F.filter(F.transform(own, lambda w, i: F.when(~F.array_contains("_hit", i + 1), F.concat(w, F.element_at(gaps, i + 2)))), lambda x: x.isNotNull()), ""))))
-    names = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform("_hits", lambda x: x["items"])), lambda x: x.isNotNull())))
+        lambda own: F.concat(F.element_at(gaps, 1), F.array_join(F.filter(F.transform(own, lambda w, i: F.when(~F.array_contains("__plumb_hit", i + 1), F.concat(w, F.element_at(gaps, i + 2)))), lambda x: x.isNotNull()), ""))))
+    names = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform("__plumb_hits", lambda x: x["items"])), lambda x: x.isNotNull())))
     return found.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        n_words.alias("n_words"), n_hit.alias("n_hit"), F.when(F.size("_hits") > 0, names).otherwise(F.array().cast("array<string>")).alias("item_ids"),
+        n_words.alias("n_words"), n_hit.alias("n_hit"), F.when(F.size("__plumb_hits") > 0, names).otherwise(F.array().cast("array<string>")).alias("item_ids"),
         ((n_hit > 0) & (share * n_hit >= n_words)).alias("contaminated"),
         F.when(n_hit > 0, pieces).otherwise(F.col("text").cast("string")).alias("clean_text"),
     )

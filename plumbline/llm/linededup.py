@@ -44,25 +44,25 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) ->
     reassembled by position.
     """
     docs = docs.drop("n_lines", "n_dropped").withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    row = [F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_row")]
-    places = docs.select(*row, F.posexplode(lines_of()).alias("_pos", "_line"))
-    places = places.where(F.length(F.btrim("_line", F.lit(BLANKS))) >= least_chars).select("_doc", "_row", "_pos", line_key(F.col("_line")).alias("_key"))
-    counted = places.select("_key.h", "_key.g", "_doc").groupBy("h", "g").agg(F.count_distinct("_doc").alias("n"), F.max("_doc").alias("_last"))
-    common = counted.where(F.col("n") >= least_docs).select("h", "g", "_last")
+    row = [F.col("doc_id").alias("__plumb_doc"), F.xxhash64("text").alias("__plumb_row")]
+    places = docs.select(*row, F.posexplode(lines_of()).alias("__plumb_pos", "__plumb_line"))
+    places = places.where(F.length(F.btrim("__plumb_line", F.lit(BLANKS))) >= least_chars).select("__plumb_doc", "__plumb_row", "__plumb_pos", line_key(F.col("__plumb_line")).alias("__plumb_key"))
+    counted = places.select("__plumb_key.h", "__plumb_key.g", "__plumb_doc").groupBy("h", "g").agg(F.count_distinct("__plumb_doc").alias("n"), F.max("__plumb_doc").alias("__plumb_last"))
+    common = counted.where(F.col("n") >= least_docs).select("h", "g", "__plumb_last")
     lost = (
-        places.select("_doc", "_row", "_pos", "_key.h", "_key.g")
+        places.select("__plumb_doc", "__plumb_row", "__plumb_pos", "__plumb_key.h", "__plumb_key.g")
         .join(common, ["h", "g"])
-        .where(~F.col("_doc").eqNullSafe(F.col("_last")))
-        .groupBy("_doc", "_row")
-        .agg(F.collect_set("_pos").alias("_lost"))
+        .where(~F.col("__plumb_doc").eqNullSafe(F.col("__plumb_last")))
+        .groupBy("__plumb_doc", "__plumb_row")
+        .agg(F.collect_set("__plumb_pos").alias("__plumb_lost"))
     )
-    joined = docs.withColumn("_hash", F.xxhash64("text")).join(lost, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_row")), "left")
+    joined = docs.withColumn("__plumb_hash", F.xxhash64("text")).join(lost, F.col("doc_id").eqNullSafe(F.col("__plumb_doc")) & (F.col("__plumb_hash") == F.col("__plumb_row")), "left")
     lines = lines_of()
-    left = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_lost", i)), "\n")
+    left = F.when(F.col("__plumb_lost").isNull(), F.col("text")).otherwise(
+        F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("__plumb_lost", i)), "\n")
     )
     return joined.select(
         *[left.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("__plumb_lost"), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -189,20 +189,20 @@ def replace_entities(docs: DataFrame, key: str = "change-me", turns: int = 12) -
     a join that adaptive execution can split.
     """
     docs = docs.drop("n_entities").withColumn("text", F.col("text").cast("string"))
-    row = [F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_row")]
-    held = saved(docs.where(F.col("text").rlike(ANY)).select(*row, F.array_distinct(entities(F.col("text"))).alias("_found")))
-    per_row = held.select("_doc", "_row", F.explode("_found").alias("entity"))
+    row = [F.col("doc_id").alias("__plumb_doc"), F.xxhash64("text").alias("__plumb_row")]
+    held = saved(docs.where(F.col("text").rlike(ANY)).select(*row, F.array_distinct(entities(F.col("text"))).alias("__plumb_found")))
+    per_row = held.select("__plumb_doc", "__plumb_row", F.explode("__plumb_found").alias("entity"))
     typed = saved(_typed(per_row.select("entity").distinct()))
     parts = typed.select("entity", F.posexplode("units").alias("pos", "unit")).select("entity", "pos", "unit.*")
     drawn = _drawn(parts.groupBy("kind", "norm", "gender").agg(F.min("script").alias("script")), key, turns)
     rendered = parts.join(drawn, ["kind", "norm", "gender"]).select("entity", "pos", _rendered(F.col("part"), F.col("kind"), F.col("surrogate")).alias("new"))
     whole = rendered.groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda x: x["new"]), " ").alias("new"))
     whole = whole.select("entity", F.concat(F.regexp_extract("entity", rf"^((?:{_titles})\.? )", 1), F.col("new")).alias("new"))
-    maps = per_row.join(saved(whole), "entity").groupBy("_doc", "_row").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("entity", "new")))).alias("_map"))
+    maps = per_row.join(saved(whole), "entity").groupBy("__plumb_doc", "__plumb_row").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("entity", "new")))).alias("__plumb_map"))
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    hit = docs.where(F.col("text").rlike(ANY)).withColumn("_hash", row[1]).join(maps, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_row")), "left")
+    hit = docs.where(F.col("text").rlike(ANY)).withColumn("__plumb_hash", row[1]).join(maps, F.col("doc_id").eqNullSafe(F.col("__plumb_doc")) & (F.col("__plumb_hash") == F.col("__plumb_row")), "left")
     gaps = F.split(F.col("text"), ANY, -1)
-    new = F.concat(F.element_at(gaps, 1), F.array_join(F.transform(entities(F.col("text")), lambda e, i: F.concat(F.element_at("_map", e), F.element_at(gaps, i + 2))), ""))
+    new = F.concat(F.element_at(gaps, 1), F.array_join(F.transform(entities(F.col("text")), lambda e, i: F.concat(F.element_at("__plumb_map", e), F.element_at(gaps, i + 2))), ""))
     hit = hit.select(*others, new.alias("text"), F.size(entities(F.col("text"))).cast("long").alias("n_entities"))
     clean = docs.where(~F.coalesce(F.col("text").rlike(ANY), F.lit(False))).select(*others, "text", F.lit(0).cast("long").alias("n_entities"))
     names = [c for c in docs.columns] + ["n_entities"]
