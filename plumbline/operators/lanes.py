@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,24 +24,26 @@ def shifted(model: Model, measures: list[Measure], by: list[By], filters: list[A
     return lane(model, measures, by, filters, window.earlier(*offset(comparison, grain)) if window else None, grain, read)
 
 
-def fiscal_to_date(base: DataFrame, model: Model, measures: list[Measure], by: list[By], filters: list[AttributeFilter], window: Window | None, grain: str, read: Callable[[str], DataFrame]) -> DataFrame:
-    """Each cell of base over all rows of its period's fiscal year up to its period.
+def fiscal_to_date(model: Model, measures: list[Measure], by: list[By], filters: list[AttributeFilter], window: Window | None, grain: str, read: Callable[[str], DataFrame]) -> DataFrame:
+    """Each period and group over all rows of the period's fiscal year up to the period.
 
     Rows count by the fiscal year they lie in and by the period they lie in, so
     a week that straddles two years adds to the first one's, and rows of the new
     year roll on to the next week.  The window's end cuts, its begin does not.
+
+    The rows meet the list of periods, which a calendar bounds, in a broadcast
+    join, so they are aggregated before anything is shuffled, whatever year or
+    group most of them lie in.  Cells that the base lacks fall away beside it.
     """
     tc = F.col(f"`{model.time_column}`")
-    groups = [f"__g{i}" for i in range(len(by))]
-    cells = base.select(PERIOD, *groups).where(F.col(PERIOD).isNotNull()).distinct()
-    cells = cells.withColumn("__fy", cal.period_of("fy", F.col(PERIOD), model.fiscal_start))
+    period = cal.period_of(grain, tc, model.fiscal_start)
+    periods = in_window(read(model.fact), model.time_column, window).select(period.alias(PERIOD)).where(F.col(PERIOD).isNotNull()).distinct()
+    periods = periods.withColumn("__fy", cal.period_of("fy", F.col(PERIOD), model.fiscal_start))
     rows = in_window(read(model.fact), model.time_column, window, high_only=True)
     rows = with_filters(with_dims(rows, model, used_attributes(by, filters), read), filters)
-    rows = rows.withColumns({"__row_fy": cal.period_of("fy", tc, model.fiscal_start), "__row_period": cal.period_of(grain, tc, model.fiscal_start)})
-    same = [F.col("__row_fy") == F.col("__fy"), F.col("__row_period") <= F.col(PERIOD)]
-    same += [F.col(f"`{attribute_column(b.dim, b.attribute)}`").eqNullSafe(F.col(g)) for b, g in zip(by, groups)]
-    joined = rows.join(cells, reduce(lambda a, b: a & b, same))
-    return joined.groupBy(PERIOD, *groups).agg(*aggregates(measures))
+    rows = rows.withColumns({"__row_fy": cal.period_of("fy", tc, model.fiscal_start), "__row_period": period})
+    joined = rows.join(F.broadcast(periods), (F.col("__row_fy") == F.col("__fy")) & (F.col("__row_period") <= F.col(PERIOD)))
+    return joined.groupBy(PERIOD, *[F.col(f"`{attribute_column(b.dim, b.attribute)}`").alias(f"__g{i}") for i, b in enumerate(by)]).agg(*aggregates(measures))
 
 
 def beside(base: DataFrame, other: DataFrame, comparison: str, grain: str, n_groups: int) -> DataFrame:

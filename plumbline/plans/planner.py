@@ -149,7 +149,7 @@ def plan(model: Model, request: Request, split: Split, read: Callable[[str], Dat
     frame = base
     for c in request.compare:
         if c == "fytd":
-            other = lanes.fiscal_to_date(base, model, measures, by, filters, window, grain, read)
+            other = lanes.fiscal_to_date(model, measures, by, filters, window, grain, read)
         else:
             other = lanes.shifted(model, measures, by, filters, window, grain, c, read)
         frame = lanes.beside(frame, other, c, grain, len(by))
