@@ -113,7 +113,7 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFr
     return out.drop("__plumb_doc", "__plumb_row", "__plumb_hash").withColumn("__plumb_words", words_of()).withColumn("__plumb_hits", F.coalesce("__plumb_found", empty)).drop("__plumb_found")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, most_windows: int = 100_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, most_windows: int = 20_000) -> DataFrame:
     """docs' rows and columns with n_words, n_hit, item_ids (array), contaminated and clean_text.
 
     A window is `size` consecutive words of a benchmark item, or all of a

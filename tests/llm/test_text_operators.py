@@ -121,6 +121,7 @@ MAIN = "A & B\nFirst paragraph with bold words here. And more.\nShort."
         (f"<article>{ARTICLE}</b></span><div class='cookie-notice'>We use cookies</div><!-- <p>no</p> --></article>", MAIN),
         ("<div><a href=1>one</a> <a href=2>two</a></div><div>" + "".join(f"<p>{'Long text of the story goes on. ' * 5}</p>" for _ in range(4)) + "</div><div class=sidebar>" + "x " * 200 + "</div>", "\n".join([("Long text of the story goes on. " * 5).strip()] * 4)),
         ("<p>a < b and c", ""),
+        ("<article><p title='it\"s'>a</p><a href=\"x>b</a></article>", "a\nb"),
         ("<article><p>1 &lt; 2 &#x41; &eacute</p></article", "1 < 2 A é"),
     ],
 )
