@@ -7,9 +7,10 @@ link is confirmed by the exact Jaccard similarity of the full shingle sets.
 
 Candidates are never expanded into the pairs of a bucket.  Texts with equal
 sets are one class from the start.  Each class is compared with the least
-member of its buckets; classes joined that way are merged, and only members
-that are still apart within a bucket are compared further, in blocks and by
-signature, before their texts are fetched.
+member of its buckets; classes joined that way are merged.  Members that are
+still apart within a bucket are compared by signature, in blocks, and each is
+held against the one most like it, for a few rounds; what is apart after that
+is compared in full.
 """
 
 from __future__ import annotations
@@ -140,33 +141,56 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, salts
     text with very many partners is spread over tasks; a's text goes with the pair.
     """
     pairs = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int").alias("salt"))
-    lead = pairs.select("b", "salt").distinct().join(docs.select(F.col("doc_id").alias("b"), "text"), "b")
-    rest = pairs.join(docs.select(F.col("doc_id").alias("a"), "text"), "a")
-    both = lead.select("b", "salt", F.lit(0).alias("tag"), F.lit(None).cast("long").alias("a"), "text").union(rest.select("b", "salt", F.lit(1), "a", "text"))
+    lead = pairs.select("b", "salt").distinct().select("b", "salt", F.lit(0).alias("tag"), F.lit(None).cast("long").alias("a"), F.col("b").alias("doc_id"))
+    both = lead.union(pairs.select("b", "salt", F.lit(1), "a", F.col("a").alias("doc_id"))).join(docs.select("doc_id", "text"), "doc_id").drop("doc_id")
     return both.repartition("b", "salt").sortWithinPartitions("b", "salt", "tag").mapInArrow(_confirmer(words, percent), "a long, b long")
 
 
-def _apart(bands: int, rows: int, least: int, ratio: float):
-    """Rows sorted by (key, left, right, side): pairs of two blocks of a bucket that may be linked and lie in different components."""
+def _apart(least: int, ratio: float, best: bool):
+    """Rows sorted by (key, left, right, side): pairs of two blocks of a bucket that may be linked and lie in different components.
+
+    best: for each document only the partner that its signature agrees with most.
+    """
 
     def pairs(one, two, same):
-        ids, marks, sizes, comps = (np.array(x) for x in zip(*one))
-        ids2, marks2, sizes2, comps2 = (np.array(x) for x in zip(*two))
-        m = np.frombuffer(b"".join(marks2.tolist()), np.uint8).reshape(len(ids2), -1)
+        marks = [x[1] for x in one]
+        ids, sizes, comps = (np.array([x[k] for x in one]) for k in (0, 2, 3))
+        ids2, sizes2, comps2 = (np.array([x[k] for x in two]) for k in (0, 2, 3))
+        m = np.frombuffer(b"".join(x[1] for x in two), np.uint8).reshape(len(ids2), -1)
+        top, partner = np.zeros(len(ids2), np.int64), np.zeros(len(ids2), np.int64)
         for i in range(len(ids)):
             near = (comps2 != comps[i]) & (sizes2 >= ratio * sizes[i]) & (ratio * sizes2 <= sizes[i])
-            if same:
+            if same and not best:
                 near &= ids2 > ids[i]
             near = np.flatnonzero(near)
-            if len(near):
-                mine = np.frombuffer(marks[i], np.uint8)
-                for j in near[(m[near] == mine).sum(1) >= least]:
-                    yield int(ids2[j]), int(ids[i])
+            if not len(near):
+                continue
+            agree = (m[near] == np.frombuffer(marks[i], np.uint8)).sum(1)
+            if best:
+                k = int(agree.argmax())
+                if agree[k] >= least:
+                    yield int(ids[i]), int(ids2[near[k]]), int(agree[k])
+                more = agree > top[near]
+                top[near[more]], partner[near[more]] = agree[more], ids[i]
+            else:
+                for j in np.flatnonzero(agree >= least):
+                    yield int(ids2[near[j]]), int(ids[i]), int(agree[j])
+        if best and not same:
+            for j in np.flatnonzero(top >= least):
+                yield int(ids2[j]), int(partner[j]), int(top[j])
 
     def flush(now, sides):
         if sides[0] and (sides[1] or now[1] == now[2]):
             yield from pairs(sides[0], sides[1] or sides[0], now[1] == now[2])
 
+    def rows(found):
+        kept: dict = {}
+        for a, b, agree in found:
+            key = a if best else (a, b)
+            if key not in kept or kept[key][2] < agree:
+                kept[key] = (a, b, agree)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in kept.values()], pa.int64()) for k in range(3)], names=["a", "b", "agree"])
+
     def run(batches):
         now, sides = None, ([], [])
         for batch in batches:
@@ -177,17 +201,26 @@ def _apart(bands: int, rows: int, least: int, ratio: float):
                         found += flush(now, sides)
                     now, sides = (key, left, right), ([], [])
                 sides[side].append((doc, mark, n, comp))
-            yield _pairs(found)
+            yield rows(found)
         if now:
-            yield _pairs(list(flush(now, sides)))
-
-    def _pairs(found):
-        found = list(dict.fromkeys(found))
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+            yield rows(flush(now, sides))
 
     return run
 
 
+def _candidates(crowd: DataFrame, marks: DataFrame, joined: DataFrame, block: int, least: int, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, b), a > b, of members of one bucket in different components whose signatures allow a link."""
+    placed = crowd.select("key", "doc_id").join(joined, "doc_id", "left").withColumn("comp", F.coalesce("component_id", "doc_id")).drop("component_id")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", (F.col("size") / block).cast("int").alias("last"))
+    apart = placed.join(mixed, "key").join(marks, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("last") + 1).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("last")), lambda o: F.struct(F.least(o, "own").alias("left"), F.greatest(o, "own").alias("right"), (F.col("own") > o).cast("int").alias("side")))
+    apart = apart.select("key", F.explode(cells).alias("cell"), "doc_id", "mark", "n", "comp").select("key", "cell.left", "cell.right", "cell.side", "doc_id", "mark", "n", "comp")
+    found = apart.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "side").mapInArrow(_apart(least, percent / 100, best), "a long, b long, agree long")
+    if best:
+        found = found.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 40, rows: int = 5, block: int = 2048) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (least doc_id that can be reached).
 
@@ -211,7 +244,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     members = heads.select("doc_id", F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("size")).where("size > 1").select("key", "low")
     crowd = saved(members.join(buckets, "key").select("key", "doc_id", "low"))
-    texts = docs.where("doc_id is not null")
+    texts = saved(docs.join(crowd.select("doc_id").distinct(), "doc_id"))  # the one time that all texts move
 
     # Each member against the least of its buckets: first the one it meets most often, then the others it is not joined with.
     stars = saved(crowd.where("doc_id <> low").groupBy(F.col("doc_id").alias("a"), F.col("low").alias("b")).agg(F.count("*").alias("meets")))
@@ -221,25 +254,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     least = int(bands * rows * percent / 100 - 5.3 * (bands * rows * percent / 100 * (1 - percent / 100)) ** 0.5)
     more = _across(stars.select("a", "b"), joined)
     marks = heads.select("doc_id", "mark", "n")
-    more = _plausible(more, marks, least, percent)
-    links = saved(links.union(confirmed(more, texts, words, percent)))
-    joined = saved(components(links))
-
-    # Members of one bucket that are still apart, block against block.
-    placed = crowd.select("key", "doc_id").join(joined, "doc_id", "left").withColumn("comp", F.coalesce("component_id", "doc_id")).drop("component_id")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", (F.col("size") / block).cast("int").alias("last"))
-    mixed = saved(mixed)
-    apart = placed.join(mixed, "key").join(heads.select("doc_id", "mark", "n"), "doc_id")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("last") + 1).cast("int")
-    apart = apart.withColumn("own", own).select(
-        "key", "doc_id", "mark", "n", "comp", F.explode(F.transform(F.sequence(F.lit(0), F.col("last")), lambda o: F.struct(F.least(o, "own").alias("left"), F.greatest(o, "own").alias("right"), (F.col("own") > o).cast("int").alias("side")))).alias("cell")
-    )
-    apart = apart.select("key", "cell.left", "cell.right", "cell.side", "doc_id", "mark", "n", "comp")
-    tried = apart.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "side").mapInArrow(_apart(bands, rows, least, percent / 100), "a long, b long").distinct()
-    tried = saved(tried.join(stars.select("a", "b"), ["a", "b"], "left_anti"))
-    if not tried.isEmpty():
-        links = saved(links.union(confirmed(tried, texts, words, percent)))
-        joined = saved(components(links))
+    more = saved(_plausible(more, marks, least, percent))
+    links, joined, _ = _merged(links, joined, more, texts, words, percent)
+
+    # Members of one bucket that are still apart: each with the partner most like it, which merges what has a centre; then all that is left.
+    tried, rounds = stars.select("a", "b"), 3
+    while True:
+        best = rounds > 0
+        found = saved(_candidates(crowd, marks, joined, block, least, percent, best).join(tried, ["a", "b"], "left_anti"))
+        links, joined, news = _merged(links, joined, found, texts, words, percent)
+        if not best:
+            break
+        tried = saved(tried.union(found))
+        rounds = rounds - 1 if news else 0
     by_class = shared.join(joined, shared.rep == joined.doc_id, "left").select("digest", F.coalesce("component_id", "rep").alias("of_class"))
     return (
         signed.join(by_class, "digest", "left").join(joined, "doc_id", "left")
@@ -247,6 +274,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     )
 
 
+def _merged(links: DataFrame, joined: DataFrame, pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Links and components with those of pairs that are confirmed, and whether there were any."""
+    if not pairs.isEmpty():
+        new = saved(confirmed(pairs, texts, words, percent))
+        if not new.isEmpty():
+            links = saved(links.union(new))
+            return links, saved(components(links)), True
+    return links, joined, False
+
+
 def _across(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     """The pairs whose ends lie in different components."""
     a = joined.select(F.col("doc_id").alias("a"), F.col("component_id").alias("comp_a"))

@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir as the cluster sets it.
 
-    The setting is the cluster's; only where it is unset (tests on one machine)
-    a folder below the warehouse is taken.
+    Only where it is unset (tests on one machine) is a folder below the warehouse taken.
     """
+    return (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    )
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None)
-            or context.getConf().get("spark.checkpoint.dir")
-            or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        )
-    return df.checkpoint()
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    out = df.checkpoint()
+    # Spark deletes the shuffle files behind a checkpoint once the driver has collected the plan as garbage
+    del df
+    gc.collect()
+    context._jvm.System.gc()
+    return out
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -43,7 +54,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     mark = None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = _star(large)
         edges = saved(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
