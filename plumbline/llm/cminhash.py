@@ -7,10 +7,9 @@ link is confirmed by the exact Jaccard similarity of the full shingle sets.
 
 Candidates are never expanded into the pairs of a bucket.  Texts with equal
 sets are one class from the start.  Each class is compared with the least
-member of its buckets; classes joined that way are merged.  Members that are
-still apart within a bucket are compared by signature, in blocks, and each is
-held against the one most like it, for a few rounds; what is apart after that
-is compared in full.
+member of its buckets; classes joined that way are merged.  Members of a
+bucket that are still apart after that are compared in blocks, by signature and
+then by full sets, and only the links found leave the tasks.
 """
 
 from __future__ import annotations
@@ -146,61 +145,67 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, salts
     return both.repartition("b", "salt").sortWithinPartitions("b", "salt", "tag").mapInArrow(_confirmer(words, percent), "a long, b long")
 
 
-def _apart(least: int, ratio: float, best: bool):
-    """Rows sorted by (key, left, right, side): pairs of two blocks of a bucket that may be linked and lie in different components.
+def _common(one: list[np.ndarray], two: list[np.ndarray], rows: np.ndarray):
+    """For each i of rows: how many members each set of two shares with one[i]."""
+    owner = np.repeat(np.arange(len(two)), [len(x) for x in two])
+    flat = np.concatenate(two) if two else np.zeros(0, np.uint64)
+    order_ = np.argsort(flat, kind="stable")
+    flat, owner = flat[order_], owner[order_]
+    for i in rows:
+        lo, hi = np.searchsorted(flat, one[i], "left"), np.searchsorted(flat, one[i], "right")
+        n = hi - lo
+        stop = np.cumsum(n)
+        yield i, np.bincount(owner[np.repeat(lo - stop + n, n) + np.arange(stop[-1] if len(stop) else 0)], minlength=len(two))
 
-    best: for each document only the partner that its signature agrees with most.
+
+def _apart(words: int, percent: int, least: int):
+    """Rows sorted by (key, left, right, side): the links between two blocks of a bucket that join different components.
+
+    Signatures say which members could be linked at all, full sets whether they
+    are; only links leave the task.
     """
 
-    def pairs(one, two, same):
+    def links(one, two, same):
         marks = [x[1] for x in one]
         ids, sizes, comps = (np.array([x[k] for x in one]) for k in (0, 2, 3))
         ids2, sizes2, comps2 = (np.array([x[k] for x in two]) for k in (0, 2, 3))
         m = np.frombuffer(b"".join(x[1] for x in two), np.uint8).reshape(len(ids2), -1)
-        top, partner = np.zeros(len(ids2), np.int64), np.zeros(len(ids2), np.int64)
+        near: dict[int, np.ndarray] = {}
         for i in range(len(ids)):
-            near = (comps2 != comps[i]) & (sizes2 >= ratio * sizes[i]) & (ratio * sizes2 <= sizes[i])
-            if same and not best:
-                near &= ids2 > ids[i]
-            near = np.flatnonzero(near)
-            if not len(near):
-                continue
-            agree = (m[near] == np.frombuffer(marks[i], np.uint8)).sum(1)
-            if best:
-                k = int(agree.argmax())
-                if agree[k] >= least:
-                    yield int(ids[i]), int(ids2[near[k]]), int(agree[k])
-                more = agree > top[near]
-                top[near[more]], partner[near[more]] = agree[more], ids[i]
-            else:
-                for j in np.flatnonzero(agree >= least):
-                    yield int(ids2[near[j]]), int(ids[i]), int(agree[j])
-        if best and not same:
-            for j in np.flatnonzero(top >= least):
-                yield int(ids2[j]), int(partner[j]), int(top[j])
+            like = (comps2 != comps[i]) & (100 * sizes2 >= percent * sizes[i]) & (percent * sizes2 <= 100 * sizes[i])
+            if same:
+                like &= ids2 > ids[i]
+            like = np.flatnonzero(like)
+            like = like[(m[like] == np.frombuffer(marks[i], np.uint8)).sum(1) >= least]
+            if len(like):
+                near[i] = like
+        if not near:
+            return
+        sets = {id(x): _sets([r[4] for r in x], words) for x in ((one,) if same else (one, two))}
+        for i, shared in _common(sets[id(one)], sets[id(two)], list(near)):
+            j = near[i]
+            both = shared[j]
+            for k in j[100 * both >= percent * (sizes[i] + sizes2[j] - both)]:
+                yield (int(ids2[k]), int(ids[i])) if ids2[k] > ids[i] else (int(ids[i]), int(ids2[k]))
 
     def flush(now, sides):
         if sides[0] and (sides[1] or now[1] == now[2]):
-            yield from pairs(sides[0], sides[1] or sides[0], now[1] == now[2])
+            yield from links(sides[0], sides[1] or sides[0], now[1] == now[2])
 
     def rows(found):
-        kept: dict = {}
-        for a, b, agree in found:
-            key = a if best else (a, b)
-            if key not in kept or kept[key][2] < agree:
-                kept[key] = (a, b, agree)
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in kept.values()], pa.int64()) for k in range(3)], names=["a", "b", "agree"])
+        found = list(dict.fromkeys(found))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["a", "b"])
 
     def run(batches):
         now, sides = None, ([], [])
         for batch in batches:
             found = []
-            for key, left, right, side, doc, mark, n, comp in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, left, right, side, doc, mark, n, comp, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if (key, left, right) != now:
                     if now:
                         found += flush(now, sides)
                     now, sides = (key, left, right), ([], [])
-                sides[side].append((doc, mark, n, comp))
+                sides[side].append((doc, mark, n, comp, text))
             yield rows(found)
         if now:
             yield rows(flush(now, sides))
@@ -208,20 +213,25 @@ def _apart(least: int, ratio: float, best: bool):
     return run
 
 
-def _candidates(crowd: DataFrame, marks: DataFrame, joined: DataFrame, block: int, least: int, percent: int, best: bool) -> DataFrame:
-    """Pairs (a, b), a > b, of members of one bucket in different components whose signatures allow a link."""
+def _sets(texts: list[str], words: int) -> list[np.ndarray]:
+    return [x for _, _, data, off in B.chunks(pa.array(texts, pa.string())) for x in shingle_sets(data, off, words)]
+
+
+def _linked_apart(crowd: DataFrame, marks: DataFrame, texts: DataFrame, joined: DataFrame, words: int, percent: int, block: int, least: int) -> DataFrame:
+    """Links (a, b), a > b, of members of one bucket that are in different components.
+
+    A bucket of many members is dealt in blocks by a hash of the document, and
+    each pair of blocks is a task's work, so no task holds more than two blocks.
+    """
     placed = crowd.select("key", "doc_id").join(joined, "doc_id", "left").withColumn("comp", F.coalesce("component_id", "doc_id")).drop("component_id")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", (F.col("size") / block).cast("int").alias("last"))
-    apart = placed.join(mixed, "key").join(marks, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("last") + 1).cast("int"))
+    apart = placed.join(mixed, "key").join(marks, "doc_id").join(texts.select("doc_id", "text"), "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("last") + 1).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("last")), lambda o: F.struct(F.least(o, "own").alias("left"), F.greatest(o, "own").alias("right"), (F.col("own") > o).cast("int").alias("side")))
-    apart = apart.select("key", F.explode(cells).alias("cell"), "doc_id", "mark", "n", "comp").select("key", "cell.left", "cell.right", "cell.side", "doc_id", "mark", "n", "comp")
-    found = apart.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "side").mapInArrow(_apart(least, percent / 100, best), "a long, b long, agree long")
-    if best:
-        found = found.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    apart = apart.select("key", F.explode(cells).alias("cell"), "doc_id", "mark", "n", "comp", "text").select("key", "cell.left", "cell.right", "cell.side", "doc_id", "mark", "n", "comp", "text")
+    return apart.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "side").mapInArrow(_apart(words, percent, least), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 40, rows: int = 5, block: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 40, rows: int = 5, block: int = 512) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (least doc_id that can be reached).
 
     docs: doc_id (an integer) and text; other columns are ignored.  A null text
@@ -255,18 +265,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     more = _across(stars.select("a", "b"), joined)
     marks = heads.select("doc_id", "mark", "n")
     more = saved(_plausible(more, marks, least, percent))
-    links, joined, _ = _merged(links, joined, more, texts, words, percent)
-
-    # Members of one bucket that are still apart: each with the partner most like it, which merges what has a centre; then all that is left.
-    tried, rounds = stars.select("a", "b"), 3
-    while True:
-        best = rounds > 0
-        found = saved(_candidates(crowd, marks, joined, block, least, percent, best).join(tried, ["a", "b"], "left_anti"))
-        links, joined, news = _merged(links, joined, found, texts, words, percent)
-        if not best:
-            break
-        tried = saved(tried.union(found))
-        rounds = rounds - 1 if news else 0
+    if not more.isEmpty():
+        links = saved(links.union(confirmed(more, texts, words, percent)))
+        joined = saved(components(links))
+
+    # Members of one bucket that are still apart, block against block; only links leave the tasks.
+    new = saved(_linked_apart(crowd, marks, texts, joined, words, percent, block, least))
+    if not new.isEmpty():
+        joined = saved(components(links.union(new)))
     by_class = shared.join(joined, shared.rep == joined.doc_id, "left").select("digest", F.coalesce("component_id", "rep").alias("of_class"))
     return (
         signed.join(by_class, "digest", "left").join(joined, "doc_id", "left")
@@ -274,16 +280,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     )
 
 
-def _merged(links: DataFrame, joined: DataFrame, pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, bool]:
-    """Links and components with those of pairs that are confirmed, and whether there were any."""
-    if not pairs.isEmpty():
-        new = saved(confirmed(pairs, texts, words, percent))
-        if not new.isEmpty():
-            links = saved(links.union(new))
-            return links, saved(components(links)), True
-    return links, joined, False
-
-
 def _across(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     """The pairs whose ends lie in different components."""
     a = joined.select(F.col("doc_id").alias("a"), F.col("component_id").alias("comp_a"))

@@ -83,18 +83,24 @@ def test_signatures_are_two_permutations(table):
 
 
 def test_blocks_find_what_stars_miss():
-    """Members of a bucket in different components are compared in blocks, whatever their number."""
+    """Members of a bucket in different components are compared in blocks; signatures choose, full sets decide."""
     import pyarrow as pa
 
-    run = cminhash._apart(3, 0.75, False)
-    mark = [b"\x01\x02\x03\x00", b"\x01\x02\x03\x00", b"\x01\x02\x09\x00", b"\x07\x07\x07\x00"]
-    names = ["key", "left", "right", "side", "doc", "mark", "n", "comp"]
-    one = pa.RecordBatch.from_arrays([pa.array([9] * 4), pa.array([0] * 4), pa.array([0] * 4), pa.array([0] * 4), pa.array([1, 2, 3, 4]), pa.array(mark), pa.array([10, 10, 9, 10]), pa.array([1, 2, 3, 4])], names=names)
-    assert {(x["a"], x["b"]) for b in run(iter([one])) for x in b.to_pylist()} == {(2, 1), (3, 1), (3, 2)}
-    closest = {(x["a"], x["b"], x["agree"]) for b in cminhash._apart(3, 0.75, True)(iter([one])) for x in b.to_pylist()}
-    assert closest == {(1, 2, 4), (2, 1, 4), (3, 1, 3)}
-    two = pa.RecordBatch.from_arrays([pa.array([9] * 3), pa.array([0] * 3), pa.array([1] * 3), pa.array([0, 1, 1]), pa.array([1, 2, 4]), pa.array([mark[0], mark[1], mark[3]]), pa.array([10, 14, 10]), pa.array([1, 2, 4])], names=names)
-    assert [x for b in run(iter([two])) for x in b.to_pylist()] == []  # 10 of 14 shingles cannot be three quarters
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(base), " ".join([*base, "x"]), " ".join([*base[:36], "y"]), " ".join(f"z{i}" for i in range(40)), " ".join([*base[:20], *[f"q{i}" for i in range(20)]])]
+    names = ["key", "left", "right", "side", "doc", "mark", "n", "comp", "text"]
+    n = [len(shingles(t)) for t in texts]
+
+    def run(cells, comps=(1, 2, 3, 4, 5)):
+        cols = [[9] * 5, [c[0] for c in cells], [c[1] for c in cells], [c[2] for c in cells], [1, 2, 3, 4, 5], [b"\x01\x02\x03\x00"] * 5, n, list(comps), texts]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+        return {(x["a"], x["b"]) for b in cminhash._apart(5, 75, 3)(iter([batch])) for x in b.to_pylist()}
+
+    want = {(j + 1, i + 1) for j in range(5) for i in range(j) if 100 * len(shingles(texts[i]) & shingles(texts[j])) >= 75 * len(shingles(texts[i]) | shingles(texts[j]))}
+    assert want == {(2, 1), (3, 1), (3, 2)}
+    assert run([(0, 0, 0)] * 5) == want
+    assert run([(0, 0, 0)] * 5, (1, 1, 3, 4, 5)) == {(3, 1), (3, 2)}  # those of one component are left out
+    assert run([(0, 1, 0), (0, 1, 1), (0, 1, 0), (0, 1, 1), (0, 1, 1)]) == {(2, 1), (3, 2)}
 
 
 def test_components(spark):
