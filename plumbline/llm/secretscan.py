@@ -25,31 +25,38 @@ HINTS = ("password", "passwd", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: A run without white space that holds a letter and a digit closer than a candidate is long; cheap to reject prose with.
-DIGIT = re.compile(r"[0-9]")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_SIZES = frozenset((32, 40, 56, 64, 96, 128))
-WORDY = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{3,}|[0-9]{1,4}")
+PARTING = re.compile(r"[_/+=-]+")
+WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+#: Words and a short number after them, or the number alone.
+PART = re.compile(r"[A-Za-z]*[0-9]{0,4}")
 
 
 @dataclass(frozen=True)
 class Limits:
-    """assign_chars, access_chars: least lengths of the base kinds.  chars_per_token: candidates at or below are random."""
+    """assign_chars, access_chars: least lengths of the base kinds.  chars_per_token: candidates at or below are random, unless a name's words all reach word_chars_per_token."""
 
     assign_chars: int = 12
     access_chars: int = 18
     chars_per_token: float = 2.0
+    word_chars_per_token: float = 3.0
 
 
-def identifier(s: str) -> bool:
-    """Names in snake, kebab, camel or path form: mostly words of 3 letters or more and short numbers."""
-    return sum(len(m) for m in WORDY.findall(s)) >= 0.8 * len(s.replace("_", "").replace("-", "").replace("/", ""))
+def identifier(s: str, encode, limits: Limits) -> bool:
+    """Names in snake, kebab, camel or path form: words that take few tokens each, hardly any of under 3 letters, and short numbers only after them."""
+    parts = PARTING.split(s)
+    if not all(PART.fullmatch(x) for x in parts):
+        return False
+    words = [w for x in parts for w in WORD.findall(x)]
+    long = [w for w in words if len(w) >= 3]
+    return sum(map(len, long)) >= 0.8 * sum(map(len, words)) and all(len(w) >= limits.word_chars_per_token * len(encode(w)) for w in long)
 
 
 def known(s: str) -> bool:
-    """Digests of usual lengths, UUIDs, plain numbers and identifiers: not random secrets."""
-    return bool(DIGEST.fullmatch(s)) and len(s) in DIGEST_SIZES or bool(UUID.fullmatch(s)) or s.isdigit() or identifier(s)
+    """Digests of usual lengths, UUIDs and plain numbers: not random secrets."""
+    return bool(DIGEST.fullmatch(s)) and len(s) in DIGEST_SIZES or bool(UUID.fullmatch(s)) or s.isdigit()
 
 
 def base_spans(text: str, limits: Limits) -> list[tuple[str, int, int]]:
@@ -66,15 +73,13 @@ def base_spans(text: str, limits: Limits) -> list[tuple[str, int, int]]:
 
 
 def random_spans(text: str, encode, limits: Limits) -> list[tuple[str, int, int]]:
-    """Candidates with letters and digits whose characters per token are few."""
+    """Candidates with letters whose characters per token are few."""
     out = []
-    if not DIGIT.search(text):
-        return out
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or known(s.strip("=")):
+        if not any(c.isalpha() for c in s) or known(s.strip("=")) or len(s) > limits.chars_per_token * len(encode(s)):
             continue
-        if len(s) <= limits.chars_per_token * len(encode(s)):
+        if not identifier(s.strip("="), encode, limits):
             out.append(("random", m.start(), m.end()))
     return out
 

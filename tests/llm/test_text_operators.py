@@ -180,3 +180,22 @@ def test_token_efficiency(word, found):
     text = f"value {word} here"
     spans = secretscan.random_spans(text, encode, secretscan.Limits())
     assert spans == ([("random", 6, 6 + len(word))] if found else [])
+
+
+@pytest.mark.parametrize(
+    "letters",
+    ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"],
+    ids=["base36", "base36_upper", "base32", "letters"],
+)
+@pytest.mark.parametrize("size", [20, 32, 64])
+def test_token_efficiency_of_random_strings(letters, size):
+    encode = pretoken.default_encoder().whole.encode_ordinary
+    rng = random.Random(size)
+    words = ["".join(rng.choice(letters) for _ in range(size)) for _ in range(200)]
+    assert sum(secretscan.random_spans(f"value {w} here", encode, secretscan.Limits()) == [("random", 6, 6 + size)] for w in words) >= 198
+
+
+@pytest.mark.parametrize("word", ["internationalizationOfUserInterfaces", "org/apache/spark/sql/DataFrameReader", "parse-http-request-header-v2", "MAX_CONNECTION_RETRY_COUNT", "-" * 40, "=" * 20 + "Chapter" + "=" * 20])
+def test_names_are_no_secrets(word):
+    encode = pretoken.default_encoder().whole.encode_ordinary
+    assert secretscan.random_spans(f"value {word} here", encode, secretscan.Limits()) == []
