@@ -4,8 +4,9 @@ Markup is stripped to lines, one a block element.  Text lengths are summed over
 sliding windows of lines; where the sum surges the main text begins, where it
 dives it ends, and the lines between are kept.  Furniture that its element or
 its class names (menus, footers, adverts, forms, comments ...) leaves empty
-lines, so it makes a dive and never text; an article or main element bounds the
-lines that count.
+lines, so it makes a dive and never text.  In an article or main element any
+character is a surge and only its end a dive; it clips the page to itself where
+no run of lines outside is longer, and does not count inside furniture.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +28,8 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption head".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that hold a line or a list of lines, and no more of a page.
+LEAF = frozenset("html body p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote table tbody thead tfoot tr td th caption figure figcaption hgroup address".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar form".split())
 # Words of class and id attributes that name furniture.
@@ -41,13 +45,26 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 @dataclass(frozen=True)
 class Blocks:
-    """window: lines in a sum.  surge: characters that begin a main text where no article bounds it.  share: of the largest text, for another to be kept."""
+    """window: lines in a sum.  surge: characters that begin a main text outside articles.  share: of the largest text, for another to be kept."""
 
     window: int = 3
     surge: int = 100
     share: float = 0.3
 
 
+class Line(NamedTuple):
+    """linked: characters in links.  bound: the outermost article or main around it, 0 for none, negative inside furniture.  path: the elements around it, LEAF left out."""
+
+    text: str
+    linked: int
+    bound: int
+    path: tuple[int, ...]
+
+    @property
+    def weight(self) -> int:
+        return max(0, len(self.text) - 2 * self.linked)
+
+
 def _furniture(name: str, attributes: str) -> tuple[bool, bool]:
     """(whether an element is furniture, whether it holds readers' comments)."""
     names: set[str] = set()
@@ -64,19 +81,21 @@ def _furniture(name: str, attributes: str) -> tuple[bool, bool]:
     return name in FURNITURE or bool(names & NAMES), bool(names & COMMENTS)
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, whether an article or main holds it) of each line; furniture gives empty lines."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> tuple[list[Line], list[int]]:
+    """The lines, furniture as empty ones, and of each bound (from 1) the element it stands in."""
+    out: list[Line] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, skipped, within article, comments
-    skip = inside = comments = False
-    linked, depth = 0, 0
+    stack: list[tuple[str, bool, int, bool, int, bool]] = []  # name, skipped, bound, comments, number, furniture
+    bounds: list[tuple[int, int, list[int]]] = [(0, 0, [])]  # bound around, element around, furniture around
+    closed: set[int] = set()  # furniture that an end tag of its own closes
+    skip = comments = False
+    linked, depth, inside, number = 0, 0, 0, 0
     at, end = 0, len(page)
 
     def close():
         nonlocal linked
         text = " ".join("".join(parts).split())
-        out.append((text, min(linked, len(text)), inside))
+        out.append(Line(text, min(linked, len(text)), inside, tuple(x[4] for x in stack if x[0] not in LEAF) if text else ()))
         parts.clear()
         linked = 0
 
@@ -108,11 +127,13 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 close()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
+                    if stack[k][5]:
+                        closed.add(stack[k][4])
                     del stack[k:]
                     break
                 if stack[k][0] in ("article", "main") and name not in ("article", "main", "body", "html"):
                     break  # a stray end tag does not close the article around it
-            skip, inside, comments = stack[-1][1:] if stack else (False, False, False)
+            skip, inside, comments = stack[-1][1:4] if stack else (False, 0, False)
             continue
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
@@ -129,19 +150,25 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if name in VOID or m[4].rstrip().endswith("/") and name in ("svg", "path"):
             continue
         if name == "body":
-            stack, skip, inside, comments = [], False, False, False
+            stack, skip, inside, comments = [], False, 0, False
         drop, talk = _furniture(name, m[4])
         if name in ("article", "main") and not drop and not comments:
-            skip = False  # what was left open before it ends here
-            inside = True
+            if skip or not inside:
+                bounds.append((inside, stack[-1][4] if stack else 0, [x[4] for x in stack if x[5]]))
+                inside = len(bounds) - 1
+            skip = False  # what was left open before it ends here; what is closed behind it makes it furniture
         if name in BLOCK or name in FURNITURE:
             skip, comments = skip or drop, comments or talk
-            stack.append((name, skip, inside, comments))
+            number += 1
+            stack.append((name, skip, inside, comments, number, drop))
     close()
-    return out
+    root = [0]
+    for k, (around, _, furniture) in enumerate(bounds[1:], 1):
+        root.append(-k if not closed.isdisjoint(furniture) else root[around] or k)
+    return [line._replace(bound=root[line.bound]) for line in out], [x[1] for x in bounds]
 
 
-def _own_heading(stack: list[tuple[str, bool, bool, bool]]) -> bool:
+def _own_heading(stack: list[tuple]) -> bool:
     """Whether text stands in a heading that only an article's own header sets apart."""
     if len(stack) < 2 or stack[-1][0] not in HEADING or not stack[-1][2]:
         return False
@@ -151,12 +178,9 @@ def _own_heading(stack: list[tuple[str, bool, bool, bool]]) -> bool:
     return k >= 0 and not stack[k][1] and any(x[0] == "header" for x in stack[k + 1 :])
 
 
-def main_lines(lines: list[tuple[str, int, bool]], blocks: Blocks) -> list[str]:
-    """The lines between surges and dives."""
-    bounded = any(text and inside for text, _, inside in lines)
-    weight = [max(0, len(text) - 2 * linked) if inside or not bounded else 0 for text, linked, inside in lines]
-    if bounded:  # all of an article is main text: any character is a surge, and only its end a dive
-        return [text for text, _, inside in lines if inside and text]
+def _runs(lines: list[Line], blocks: Blocks) -> list[tuple[int, int, int]]:
+    """(characters, first line, line after the last) of the runs between surges and dives outside articles."""
+    weight = [0 if line.bound else line.weight for line in lines]
     n = len(lines)
     total = [0]
     for w in weight:
@@ -172,13 +196,45 @@ def main_lines(lines: list[tuple[str, int, bool]], blocks: Blocks) -> list[str]:
             j += 1
         runs.append((total[j] - total[i], i, j))
         i = j
+    return runs
+
+
+def _container(lines: list[Line]) -> tuple[int, ...]:
+    """The elements around all of the lines."""
+    paths = [line.path for line in lines if line.weight and not line.bound]
+    return tuple(a for a, *others in zip(*paths) if all(x == a for x in others)) if paths else ()
+
+
+def main_lines(lines: list[Line], parents: list[int], blocks: Blocks) -> list[str]:
+    """The lines between surges and dives: the largest run, those beside it in its container, and those of a share of its size."""
+    held: dict[int, int] = {}
+    for line in lines:
+        if line.bound > 0 and line.text:
+            held[line.bound] = held.get(line.bound, 0) + line.weight
+    runs = _runs(lines, blocks)
     most = max((r[0] for r in runs), default=0)
-    return [lines[k][0] for size, i, j in runs if size >= blocks.share * most for k in range(i, j) if lines[k][0] and lines[k][1] * 2 <= len(lines[k][0])]
+    top = max(held, key=held.__getitem__, default=0)
+    if top and held[top] >= most:
+        kept = {b for b, size in held.items() if parents[b] == parents[top] or size >= blocks.share * held[top]}
+        return [line.text for line in lines if line.bound in kept and line.text]
+    if not runs:  # nothing but what stands in furniture
+        shaded = [line._replace(bound=-line.bound) for line in lines if line.bound < 0]
+        return main_lines(shaded, parents, blocks) if shaded else []
+    home = _container(lines[slice(*max(runs, key=lambda r: r[0])[1:])])
+    kept = {b for b, size in held.items() if size >= blocks.share * most}
+    chosen = set()
+    for size, i, j in runs:
+        if size >= blocks.share * most or home and _container(lines[i:j])[: len(home)] == home:
+            chosen.update(range(i, j))
+    return [
+        line.text for k, line in enumerate(lines)
+        if line.text and (line.bound in kept or k in chosen and not line.bound and line.linked * 2 <= len(line.text))
+    ]
 
 
 def extract_text(page: str | None, blocks: Blocks = Blocks()) -> str:
     """The main text of a page, one line a block; empty if there is none."""
-    return "\n".join(main_lines(lines_of(page), blocks)) if page else ""
+    return "\n".join(main_lines(*lines_of(page), blocks)) if page else ""
 
 
 def extract(pages: DataFrame, blocks: Blocks = Blocks()) -> DataFrame:

@@ -129,6 +129,26 @@ def test_main_text(page, text):
     assert htmltext.extract_text(page) == text
 
 
+STORY = "Long text of the story goes on and on. " * 8
+P = f"<p>{STORY}</p>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div class=entry>{P}</div><aside><article>teaser</article></aside>", [STORY]),
+        (f"<nav><article>{P * 3}</article></nav><div>{P}</div>", [STORY]),
+        (f"<main>{P}<aside><article>teaser</article></aside>{P}</main>", [STORY] * 2),
+        (f"<div class=entry>{P}{P}</div><article>A card without a place in furniture.</article>", [STORY] * 2),
+        (f"<article>{P}</article><div>{'A note of the page that is no part of it. ' * 3}</div>", [STORY]),
+        (f"<div class=entry>{P * 6}<ul>{'<li><a href=1>see this</a></li>' * 4}</ul><p>{STORY[:117]}</p></div><div><p>{STORY[:117]}</p></div>", [STORY] * 6 + [STORY[:117]]),
+        (f"<div class=list><article>{P}</article><article><p>Short news.</p></article></div>", [STORY, "Short news."]),
+    ],
+)
+def test_runs_before_articles(page, text):
+    assert htmltext.extract_text(page) == "\n".join(x.strip() for x in text)
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", f"<article>{ARTICLE}</article>", "clash"), (2, None, None, None), (2, None, None, None)], "page_id long, url string, html string, text string")
     got = sorted((tuple(r) for r in htmltext.extract(df).select("page_id", "text", "n_chars").collect()))
