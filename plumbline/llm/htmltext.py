@@ -32,10 +32,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 LEAF = frozenset("html body p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote table tbody thead tfoot tr td th caption figure figcaption hgroup address".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar form".split())
-# Words of class and id attributes that name furniture.
+# Classes and ids that name furniture.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promoted promotion recommended related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar widget widgets".split()
 )
+#: Words that may stand beside these in a class or id of several words; with any other word (has-sidebar, category-social, related-work) it names no furniture.
+BESIDE = frozenset(
+    "area article articles bar block blog body bottom box button buttons col column container count desktop entry first fixed form global google group head header heading here horizontal icon icons info inner item items js label large last latest left link links list main media message meta mobile more msg now on outer page panel pane popular post posts primary read right row secondary section site slot small sticky story stories text this title top trending unit us vertical wrap wrapper x zone".split()
+)
+COMPOUNDS = frozenset("promoted-content recommended-content related-content sponsored-content".split())
+#: Elements whose id is more often a place to link to than a part of the page.
+ANCHORS = frozenset("section p li dt dd tr td th pre blockquote figure table".split())
 COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)", re.DOTALL)
@@ -53,60 +60,93 @@ class Blocks:
 
 
 class Line(NamedTuple):
-    """linked: characters in links.  bound: the outermost article or main around it, 0 for none, negative inside furniture.  path: the elements around it, LEAF left out."""
+    """linked: characters in links.  bound: the outermost article or main around it, 0 for none, negative inside furniture.  element: the innermost around it, LEAF left out."""
 
     text: str
     linked: int
     bound: int
-    path: tuple[int, ...]
+    element: int
 
     @property
     def weight(self) -> int:
         return max(0, len(self.text) - 2 * self.linked)
 
 
-def _furniture(name: str, attributes: str) -> tuple[bool, bool]:
-    """(whether an element is furniture, whether it holds readers' comments)."""
+def _names(value: str) -> set[str]:
+    """The words of the classes or ids that name furniture as a whole."""
+    found: set[str] = set()
+    for token in value.split():
+        words = [w.lower() for w in WORDS.findall(token)]
+        if not NAMES.isdisjoint(words) and (all(w in NAMES or w in BESIDE for w in words) or "-".join(words) in COMPOUNDS):
+            found.update(words)
+    return found & NAMES
+
+
+def _furniture(name: str, attributes: str) -> tuple[bool, bool, bool]:
+    """(whether an element is furniture, whether by more than its names, whether it is named for readers' comments)."""
     names: set[str] = set()
     for m in ATTRIBUTE.finditer(attributes) if attributes and not attributes.isspace() else ():
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True, False
+            return True, True, False
         if key == "role" and value.lower() in ROLES:
-            return True, False
-        if key in ("class", "id"):
-            names.update(w.lower() for w in WORDS.findall(value))
+            return True, True, False
+        if key == "class":
+            names |= _names(value)
+        elif key == "id" and name not in HEADING:
+            names |= _names(value) & COMMENTS if name in ANCHORS else _names(value)
+    talk = not names.isdisjoint(COMMENTS)
     if name in ("body", "html", "main"):
-        return False, False
-    return name in FURNITURE or bool(names & NAMES), bool(names & COMMENTS)
+        return False, False, False
+    if name == "article":
+        return False, False, talk
+    return name in FURNITURE or bool(names), name in FURNITURE, talk
+
 
+def lines_of(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[Line], list[int], dict[int, tuple[int, int]]]:
+    """The lines, furniture as empty ones; of each bound (from 1) the element it stands in; of each element, LEAF left out, the one around it and the last one in it.
 
-def lines_of(page: str) -> tuple[list[Line], list[int]]:
-    """The lines, furniture as empty ones, and of each bound (from 1) the element it stands in."""
+    Elements that hold most of a page's text are spared if only their names
+    make them furniture and no article or main outside furniture has any text.
+    """
     out: list[Line] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, int, bool, int, bool]] = []  # name, skipped, bound, comments, number, furniture
+    stack: list[tuple[str, bool, int, bool, int, bool, bool, int]] = []  # name, skipped, bound, comments, number, furniture, furniture or comments by more than names, innermost element but LEAF
     bounds: list[tuple[int, int, list[int]]] = [(0, 0, [])]  # bound around, element around, furniture around
     closed: set[int] = set()  # furniture that an end tag of its own closes
-    skip = comments = False
-    linked, depth, inside, number = 0, 0, 0, 0
+    skip = comments = firm = False
+    linked, depth, inside, number, said = 0, 0, 0, 0, 0
+    remarks: set[int] = set()  # bounds named for readers' comments
+    tree: dict[int, tuple[int, int]] = {}
+    begun: dict[int, int] = {}  # characters before each element that its names make furniture
+    held: dict[int, int] = {}  # characters within it
     at, end = 0, len(page)
 
     def close():
         nonlocal linked
         text = " ".join("".join(parts).split())
-        out.append(Line(text, min(linked, len(text)), inside, tuple(x[4] for x in stack if x[0] not in LEAF) if text else ()))
+        out.append(Line(text, min(linked, len(text)), inside, stack[-1][7] if stack else 0))
         parts.clear()
         linked = 0
 
     def put(raw: str, heading: bool):
-        nonlocal linked
+        nonlocal linked, said
+        if raw and not firm and not depth:
+            said += len(raw.strip())
         if raw and (not skip or heading):
             raw = html.unescape(raw) if "&" in raw else raw
             parts.append(raw)
             if depth:
                 linked += len(raw.strip())
 
+    def leave(k: int):
+        for x in stack[k:]:
+            if x[4] in begun:
+                held[x[4]] = said - begun[x[4]]
+            if x[4] in tree:
+                tree[x[4]] = (tree[x[4]][0], number)
+        del stack[k:]
+
     while at < end:
         m = TOKEN.search(page, at)
         heading = skip and _own_heading(stack)
@@ -129,11 +169,12 @@ def lines_of(page: str) -> tuple[list[Line], list[int]]:
                 if stack[k][0] == name:
                     if stack[k][5]:
                         closed.add(stack[k][4])
-                    del stack[k:]
+                    leave(k)
                     break
                 if stack[k][0] in ("article", "main") and name not in ("article", "main", "body", "html"):
                     break  # a stray end tag does not close the article around it
             skip, inside, comments = stack[-1][1:4] if stack else (False, 0, False)
+            firm = bool(stack) and stack[-1][6]
             continue
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
@@ -150,22 +191,45 @@ def lines_of(page: str) -> tuple[list[Line], list[int]]:
         if name in VOID or m[4].rstrip().endswith("/") and name in ("svg", "path"):
             continue
         if name == "body":
-            stack, skip, inside, comments = [], False, 0, False
-        drop, talk = _furniture(name, m[4])
+            leave(0)
+            skip, inside, comments, firm = False, 0, False, False
+        drop, sure, talk = _furniture(name, m[4])
+        if name == "article" and talk and (inside or comments):
+            drop = True
+        number += 1
+        if drop and number in spared:
+            drop = False
         if name in ("article", "main") and not drop and not comments:
             if skip or not inside:
                 bounds.append((inside, stack[-1][4] if stack else 0, [x[4] for x in stack if x[5]]))
                 inside = len(bounds) - 1
-            skip = False  # what was left open before it ends here; what is closed behind it makes it furniture
+                if talk:
+                    remarks.add(inside)
+            skip = firm = False  # what was left open before it ends here; what is closed behind it makes it furniture
         if name in BLOCK or name in FURNITURE:
-            skip, comments = skip or drop, comments or talk
-            number += 1
-            stack.append((name, skip, inside, comments, number, drop))
+            skip, comments, firm = skip or drop, comments or talk and drop, firm or drop and (sure or talk)
+            if drop and not firm:
+                begun[number] = said
+            around = stack[-1][7] if stack else 0
+            if name not in LEAF:
+                tree[number] = (around, number)
+            stack.append((name, skip, inside, comments, number, drop, firm, around if name in LEAF else number))
     close()
+    leave(0)
     root = [0]
     for k, (around, _, furniture) in enumerate(bounds[1:], 1):
         root.append(-k if not closed.isdisjoint(furniture) else root[around] or k)
-    return [line._replace(bound=root[line.bound]) for line in out], [x[1] for x in bounds]
+    if remarks:  # readers' comments, unless one holds most of the text
+        sizes = dict.fromkeys(root, 0)
+        for line in out:
+            sizes[root[line.bound]] += line.weight
+        total = sum(sizes.values())
+        root = [-r if r in remarks and 2 * sizes[r] <= total else r for r in root]
+    lines = [line._replace(bound=root[line.bound]) for line in out]
+    most = frozenset(k for k, size in held.items() if 2 * size > said)
+    if most and not spared and not any(line.bound > 0 and line.text for line in lines):
+        return lines_of(page, most)
+    return lines, [x[1] for x in bounds], tree
 
 
 def _own_heading(stack: list[tuple]) -> bool:
@@ -199,13 +263,15 @@ def _runs(lines: list[Line], blocks: Blocks) -> list[tuple[int, int, int]]:
     return runs
 
 
-def _container(lines: list[Line]) -> tuple[int, ...]:
-    """The elements around all of the lines."""
-    paths = [line.path for line in lines if line.weight and not line.bound]
-    return tuple(a for a, *others in zip(*paths) if all(x == a for x in others)) if paths else ()
+def _container(elements: set[int], tree: dict[int, tuple[int, int]]) -> int:
+    """The innermost element around all of these, 0 for the page."""
+    home, last = min(elements), max(elements)
+    while home and tree[home][1] < last:
+        home = tree[home][0]
+    return home
 
 
-def main_lines(lines: list[Line], parents: list[int], blocks: Blocks) -> list[str]:
+def main_lines(lines: list[Line], parents: list[int], tree: dict[int, tuple[int, int]], blocks: Blocks) -> list[str]:
     """The lines between surges and dives: the largest run, those beside it in its container, and those of a share of its size."""
     held: dict[int, int] = {}
     for line in lines:
@@ -219,12 +285,13 @@ def main_lines(lines: list[Line], parents: list[int], blocks: Blocks) -> list[st
         return [line.text for line in lines if line.bound in kept and line.text]
     if not runs:  # nothing but what stands in furniture
         shaded = [line._replace(bound=-line.bound) for line in lines if line.bound < 0]
-        return main_lines(shaded, parents, blocks) if shaded else []
-    home = _container(lines[slice(*max(runs, key=lambda r: r[0])[1:])])
+        return main_lines(shaded, parents, tree, blocks) if shaded else []
+    within = lambda i, j: {x.element for x in lines[i:j] if x.weight and not x.bound}
+    home = _container(within(*max(runs)[1:]), tree)
     kept = {b for b, size in held.items() if size >= blocks.share * most}
     chosen = set()
     for size, i, j in runs:
-        if size >= blocks.share * most or home and _container(lines[i:j])[: len(home)] == home:
+        if size >= blocks.share * most or home and all(home <= e <= tree[home][1] for e in within(i, j)):
             chosen.update(range(i, j))
     return [
         line.text for k, line in enumerate(lines)

@@ -149,6 +149,28 @@ def test_runs_before_articles(page, text):
     assert htmltext.extract_text(page) == "\n".join(x.strip() for x in text)
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article>{P}<section id='related-work'>{P}</section><h2 id='cookies'>On cookies</h2><section id=cookies>{P}</section></article>", [STORY, STORY, "On cookies", STORY]),
+        (f"<div class='layout has-sidebar'>{P}</div>", [STORY]),
+        (f"<div class='no-sidebar'>{P}</div>", [STORY]),
+        (f"<div class='widget'>{P}{P}<div class='share-buttons'>Share this</div></div><p>{STORY[:117]}</p>", [STORY] * 2),
+        (f"<article class='post hentry category-social'>{P}</article>", [STORY]),
+        (f"<article class=notice>{P}</article>", [STORY]),
+        (f"<div class=popup><article>{P}</article></div>", [STORY]),
+        (f"<article>{P}{''.join(f'<div class={c}>{P}</div>' for c in 'ad-banner comment-list cookieNotice site-footer related_posts sponsored-content social'.split())}</article>", [STORY]),
+        (f"<article>{P}</article><div class=cookie-consent>{P * 3}</div>", [STORY]),
+        (f"<div>{P}</div><div id=comments>{P * 3}</div>", [STORY]),
+        (f"<article>{P}</article><article class=comment>{P}</article>", [STORY]),
+        (f"<article class='comment is-free'>{P}</article><div>{'A note of the page that is no part of it. ' * 3}</div>", [STORY]),
+        (f"<article class=comment>{P}</article><div>{'A note of the page that is no part of it. ' * 3}</div>", [STORY]),
+    ],
+)
+def test_names_of_furniture(page, text):
+    assert htmltext.extract_text(page) == "\n".join(x.strip() for x in text)
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", f"<article>{ARTICLE}</article>", "clash"), (2, None, None, None), (2, None, None, None)], "page_id long, url string, html string, text string")
     got = sorted((tuple(r) for r in htmltext.extract(df).select("page_id", "text", "n_chars").collect()))
