@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ from . import bytewords as B
 # Phrases of page furniture, in lower case.
 BOILERPLATE = (
     "accept cookies", "accept all", "all rights reserved", "back to top", "click here", "cookie policy", "enable javascript", "follow us on",
-    "forgot your password", "javascript is disabled", "licensed under", "log in", "lorem ipsum", "newsletter", "next page", "previous page",
+    "forgot your password", "javascript is disabled", "licensed under", "log in", "lorem ipsum", "newsletters", "newsletter", "next page", "previous page",
     "privacy policy", "read more", "released under the mit", "share on", "sign in", "sign up", "skip to content", "subscribe", "terms of service",
     "terms of use", "this work is licensed", "use of cookies", "uses cookies",
 )
@@ -61,6 +62,19 @@ TAIL = tuple(x.encode() for x in (*ENDS, *CLOSERS))
 FURNITURE = re.compile("|".join(map(re.escape, BOILERPLATE)).encode(), re.IGNORECASE)
 
 
+def _joins(raw: bytes, at: int) -> bool:
+    """Whether the character that holds this byte continues a word."""
+    if raw[at] < 0x80:
+        return raw[at : at + 1].isalnum() or raw[at] == 95
+    a, b = at, at + 1
+    while a > 0 and raw[a] & 0xC0 == 0x80:
+        a -= 1
+    while b < len(raw) and raw[b] & 0xC0 == 0x80:
+        b += 1
+    c = raw[a:b].decode(errors="replace")
+    return c.isalnum() or unicodedata.category(c[0])[0] == "M"
+
+
 def _sums(flags: np.ndarray) -> np.ndarray:
     out = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=out[1:])
@@ -128,10 +142,15 @@ def judge(data: np.ndarray, off: np.ndarray, rules: Rules) -> dict[str, np.ndarr
         own = h[w_lo[i] : w_hi[i]]
         if (own == np.partition(own, len(own) // 2)[len(own) // 2]).sum() > rules.most_one_word * len(own):
             fails[i] = True
-    for m in FURNITURE.finditer(data.tobytes()):
+    raw = data.tobytes()
+    m = FURNITURE.search(raw)
+    while m:
         i = np.searchsorted(lo, m.start(), "right") - 1
-        if m.end() <= hi[i] and words[i] <= rules.furniture_words:
+        # the texts stand without a gap: a line's ends are word borders
+        whole = m.end() <= hi[i] and not (m.start() > lo[i] and _joins(raw, m.start() - 1)) and not (m.end() < hi[i] and _joins(raw, m.end()))
+        if whole and words[i] <= rules.furniture_words:
             fails[i] = True
+        m = FURNITURE.search(raw, m.end() if whole else m.start() + 1)
     fails &= words > 0
     lost = np.bincount(line_owner[fails], line_chars[fails], len(off) - 1)
     base_failed = (n_words < rules.least_words) | (n_repeat > rules.most_repeat * n_words)

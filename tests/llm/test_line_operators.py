@@ -95,6 +95,26 @@ def test_line_rules(table, extra, kept, left):
     assert r["kept"] is kept and not r["base_failed"] and len(r["text"].split("\n")) == left
 
 
+@pytest.mark.parametrize(
+    "line, left",
+    [
+        ("She studied design in Milan for three years.", 9),
+        ("Their dialog in the last scene is short.", 9),
+        ("She wrote on her blog in spring.", 9),
+        ("He made the thread more even.", 9),
+        ("The \u00e9log in of old was long.", 9),
+        ("Sign in.", 8),
+        ("Please \u201clog in\u201d first.", 8),
+        ("A blog in which you log in.", 8),
+        ("Get our newsletters.", 8),
+    ],
+)
+def test_furniture_between_word_borders(table, line, left):
+    pairs = [(k, x) for k, x in enumerate(["Word", PROSE + "\n" + line, line + "\n" + PROSE, "Word"])]
+    got = {r["doc_id"]: r["text"] for r in linerules.line_quality(table(pairs, parts=1), clean=True).collect()}
+    assert [len(got[k].split("\n")) for k in (1, 2)] == [left, left]
+
+
 def test_clean_and_drop(table):
     df = linerules.line_quality(table([(1, PROSE + "\nSign in to read more."), (2, "too short."), (3, None)]), clean=True, drop=True)
     (r,) = df.collect()
