@@ -90,7 +90,7 @@ def _in_plan(docs: DataFrame, rows: list) -> DataFrame:
         bound(table, lambda t: F.filter(
             F.transform("__plumb_near", lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), x["window"].alias("window"), F.flatten(F.transform(
                 F.filter(F.element_at(t, F.pmod(x["hash"], F.lit(buckets)).cast("int") + 1), lambda e: (e["window"] == x["window"]) & (e["size"] == x["size"])), lambda e: e["items"])).alias("items"))),
-            lambda x: F.size(x["items"]) >= 0,
+            lambda x: F.size(x["items"]) > 0,
         ))
     )
     return docs.withColumn("__plumb_hits", checked).drop("__plumb_near")

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import decontam
 
@@ -76,3 +77,13 @@ def test_native(spark, table):
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     plan = decontam.decontaminate(table([(1, "a b c")]), items)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan) and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_hits_of_equal_hashes_are_verified(spark, table, monkeypatch, most):
+    real = decontam.benchmark_windows
+    collide = lambda benchmark, size: real(benchmark, size).withColumn("window", F.when(F.col("item_id") == "1", "other words").otherwise(F.col("window")))
+    monkeypatch.setattr(decontam, "benchmark_windows", collide)
+    items = spark.createDataFrame([(1, "red stone bridge"), (2, "old green river"), (None, "a quiet town")], "item_id long, text string")
+    pairs = [(1, "the red stone bridge stands"), (2, "an old green river runs"), (3, "once a quiet town slept")]
+    assert result(table(pairs), items, most_windows=most) == [(1, 5, 0, (), False), (2, 5, 3, ("2",), True), (3, 5, 3, (), True)]
