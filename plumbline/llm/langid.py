@@ -104,7 +104,12 @@ def mixture(logs: np.ndarray, counts: np.ndarray, rounds: int = 12) -> tuple[np.
     return share, float(np.log(share @ p) @ counts + top @ counts)
 
 
-def infer(model: Model, gram: np.ndarray, counts: np.ndarray, penalty: float, most: int) -> tuple[list[int], np.ndarray]:
+def _ordered(chosen: list[int], share: np.ndarray) -> tuple[list[int], np.ndarray]:
+    order = np.argsort(-share, kind="stable")
+    return [chosen[i] for i in order], share[order]
+
+
+def infer(model: Model, gram: np.ndarray, counts: np.ndarray, penalty: float, most: int | None = None) -> tuple[list[int], np.ndarray]:
     """Languages of a document and their proportions, greatest first.
 
     n-grams overlap, so each stands for 1 / size of an observation.
@@ -115,28 +120,29 @@ def infer(model: Model, gram: np.ndarray, counts: np.ndarray, penalty: float, mo
     chosen = [int(alone.argmax())]
     share, best = np.ones(1), float(alone.max())
     cost = penalty * np.log(max(counts.sum(), np.e))
-    while len(chosen) < min(most, len(logs)):
+    while len(chosen) < (len(logs) if most is None else min(most, len(logs))):
         # what a language could add at most: it takes over every n-gram that it explains better
         now = np.log(share @ np.exp(logs[chosen] - logs.max(0))) + logs.max(0)
         reach = np.maximum(logs - now, 0) @ counts
         reach[chosen] = -1
-        new = int(reach.argmax())
-        if reach[new] <= cost:
-            break
-        trial, value = mixture(logs[chosen + [new]], counts)
-        if value - best <= cost:
-            break
+        for new in np.argsort(-reach, kind="stable").tolist():
+            if reach[new] <= cost:
+                return _ordered(chosen, share)
+            trial, value = mixture(logs[chosen + [new]], counts)
+            if value - best > cost:
+                break
+        else:
+            return _ordered(chosen, share)
         chosen, share, best = chosen + [new], trial, value
-    order = np.argsort(-share, kind="stable")
-    return [chosen[i] for i in order], share[order]
+    return _ordered(chosen, share)
 
 
-def predict(docs: DataFrame, model: Model | None, penalty: float = 4.0, most: int = 4) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, penalty: float = 4.0, most: int | None = None) -> DataFrame:
     """docs with lang_pred, score and langs (array of language and share).
 
     lang_pred is the language of the greatest proportion, score that proportion.
     A text that is null or has no letter is `und` with score 0, and so is every
-    text where there is no model.  Columns of docs with one of these names are
+    text where there is no model.  most bounds the languages of a text, where given.  Columns of docs with one of these names are
     replaced, others pass through; rows are judged one by one without a shuffle.
     """
     docs = docs.drop("lang_pred", "score", "langs").withColumn("text", F.col("text").cast("string"))

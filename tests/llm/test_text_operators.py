@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,19 @@ def test_languages_of_odd_texts(table, model, odd):
     assert langid.fit(table([(1, None)]).select("text", F.lit(None).alias("lang"))) is None
 
 
+def test_more_than_four_languages():
+    logs = np.full((6, 6), -12.0)
+    np.fill_diagonal(logs, -1.0)
+    langs, share = langid.infer(langid.Model(list("abcdef"), logs, 1, 3), np.arange(6), np.full(6, 500.0), 4.0)
+    assert sorted(langs) == list(range(6)) and np.allclose(share, 1 / 6, atol=0.02)
+
+
+def test_next_language_where_the_likeliest_fails():
+    logs = np.array([[-2.0, -2, -10], [-1.8, -30, -30], [-30, -30, -2]])
+    langs, _ = langid.infer(langid.Model(list("abc"), logs, 1, 2), np.arange(3), np.array([5000.0, 4900, 100]), 4.0)
+    assert langs == [0, 2]
+
+
 # ---- surrogates
 
 
