@@ -3,8 +3,9 @@
 Detected entities get keyed replacements of the same type: an address for an
 address, a valid card number for a valid card number, a name of the same gender
 and script in the same case and layout.  One entity has one surrogate in all
-documents (a surname alone and within a full name, a phone number in any
-layout), and different entities have different ones: surrogates that meet each
+documents (a surname behind a title and within a full name, a phone number in
+any layout); a surname with neither a title nor a listed given name before it
+is not detected and stays in clear.  Different entities have different ones: surrogates that meet each
 other or a real entity are drawn again.
 """
 
