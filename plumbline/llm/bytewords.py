@@ -7,34 +7,23 @@ cost is a few nanoseconds a byte and no Python object is made per word.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-
 #: The bytes of [\x20\x09-\x0D], the white space of the contracts.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-CASED = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-FOLDED = CASED.copy()
-FOLDED[65:91] = CASED[97:123]  # A-Z count as a-z
-
-_powers: dict[str, np.ndarray] = {}
-
+#: A-Z as a-z, every other byte as it is.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i in 0..n."""
-    if len(_powers.get("up", ())) <= n:
-        size = 1 << max(20, int(n + 1).bit_length())
-        for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            x = np.full(size, base, U64)
-            x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"][: n + 1], _powers["down"][: n + 1]
+#: Words of 8 bytes with the first n set, n = 0..8 (little-endian).
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+LONG = 64  # bytes; longer runs are hashed one by one
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -87,12 +76,33 @@ def spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(off, starts, "right") - 1
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = CASED) -> np.ndarray:
-    """64-bit hash of data[start:end] for each pair; equal bytes (as table sees them) hash alike anywhere."""
-    up, down = powers(len(data))
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(table[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of data on as one number; zeros follow the end."""
+    room = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", room, 0, (1,))
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of data[start:end] for each pair; equal bytes hash alike anywhere.
+
+    Eight bytes at a time go through the mixer, so that no arrangement of bytes
+    cancels out; runs of over LONG bytes take BLAKE2.
+    """
+    size = ends - starts
+    out = size.astype(U64)
+    if not len(size):
+        return out
+    from_here = eights(data)
+    todo = np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        todo = todo[size[todo] > k]
+        if not len(todo):
+            break
+        part = from_here[starts[todo] + k] & FIRST[np.minimum(size[todo] - k, 8)]
+        out[todo] = mix((out[todo] + U64(0x9E3779B97F4A7C15)) ^ mix(part))
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def windows(h: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -63,7 +63,7 @@ def signatures(places: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
 def shingle_sets(data: np.ndarray, off: np.ndarray, words: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text: runs of `words` words, A-Z lower-cased; of fewer words, all as one."""
     starts, ends, owner = B.spans(~B.IS_SPACE[data], off)
-    h = B.hashes(data, starts, ends, B.FOLDED)
+    h = B.hashes(B.LOWER[data], starts, ends)
     runs, first = B.windows(h, owner, words)
     begin = np.searchsorted(owner, np.arange(len(off)))
     cut = np.searchsorted(first, begin)

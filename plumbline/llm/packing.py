@@ -98,11 +98,11 @@ def plan(sizes: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
     return out
 
 
-def _packer(window: int, vocabulary: str | None, shard: int, with_ids: bool):
+def _packer(window: int, vocabulary: str | None, tokenizer: str | None, shard: int, with_ids: bool):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches):
-        encoder = pretoken.default_encoder(vocabulary)
+        encoder = pretoken.default_encoder(vocabulary, pretoken.added_tokens(tokenizer))
         task = TaskContext.get()
         serial = (task.partitionId() if task else 0) << 40
         keys, parts, sizes, held = [], [], [], 0
@@ -147,11 +147,12 @@ def _packer(window: int, vocabulary: str | None, shard: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, window: int = 1024, vocabulary: str | None = None, shard_tokens: int = 12_000_000, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, window: int = 1024, vocabulary: str | None = None, tokenizer: str | None = None, shard_tokens: int = 12_000_000, with_ids: bool = False) -> DataFrame:
     """Pieces of packed sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids if asked for).
 
     docs: doc_id and text; other columns are ignored.  A null or empty text is
-    the separator alone.  Repeated rows are packed as often as they occur; a
+    the separator alone.  Ids are those of the tokenizer file with its added
+    tokens: <|endoftext|> in a text is one id.  Repeated rows are packed as often as they occur; a
     null doc_id stays null.  An empty table gives no rows.
 
     Each partition is read once and nothing is shuffled.  A task packs shards of
@@ -163,4 +164,4 @@ def pack(docs: DataFrame, window: int = 1024, vocabulary: str | None = None, sha
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_packer(window, vocabulary, shard_tokens, with_ids), schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_packer(window, vocabulary, tokenizer, shard_tokens, with_ids), schema)

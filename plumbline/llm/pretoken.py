@@ -2,17 +2,20 @@
 
 The vocabulary's pattern cuts a text into pre-tokens that are encoded one by
 one.  Texts of code points below 0x250 (Latin scripts) are cut by array
-operations, and a pre-token seen before costs one table look-up.  Any other
-text goes through the vocabulary's own pattern.  Both ways give the ids that
-the `tokenizers` library gives for the same vocabulary (tests compare them).
+operations, and a pre-token seen before costs one table look-up, which compares
+its bytes.  Any other text goes through the vocabulary's own pattern.  Both ways
+give the ids that the `tokenizers` library gives for the same vocabulary (tests
+compare them).
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import unicodedata
 
 import numpy as np
+import regex
 
 from . import bytewords as B
 
@@ -58,24 +61,35 @@ def cut(cp: np.ndarray, off: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+#: Bytes of a pre-token that the table holds; longer ones are looked up as Python bytes.
+HELD = 24
+
+
 class Encoder:
-    """Ids by a .tiktoken vocabulary file; special tokens' strings are ordinary text."""
+    """Ids by a .tiktoken vocabulary file.
+
+    added: strings that are one token wherever they stand in a text, with their
+    ids.  Without them such strings are ordinary text.
+    """
 
-    def __init__(self, path: str, pattern: str, most_entries: int = 1 << 20, slots: int = 1 << 21):
+    def __init__(self, path: str, pattern: str, added: dict[str, int] | None = None, most_entries: int = 400_000, slots: int = 1 << 20):
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.whole = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.added = {k.encode(): v for k, v in (added or {}).items()}
+        self.parting = regex.compile(b"|".join(regex.escape(k) for k in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.classes = _classes()
-        rng = np.random.Generator(np.random.PCG64(7))
-        self.table = rng.integers(1, 1 << 63, LATIN, dtype=np.uint64) * B.U64(2) + B.U64(1)
         self.most, self.mask = most_entries, B.U64(slots - 1)
         self.clear()
 
     def clear(self) -> None:
-        self.key = np.zeros(int(self.mask) + 1, np.uint64)
-        self.entry = np.zeros(int(self.mask) + 1, np.int32)
+        size = int(self.mask) + 1
+        self.key = [np.zeros(size, np.uint64) for _ in range(HELD // 8)]
+        self.length = np.zeros(size, np.uint8)  # 0: a free slot
+        self.entry = np.zeros(size, np.int32)
+        self.known: dict[bytes, int] = {}
         self.begin = np.zeros(1024, np.int64)
         self.count = np.zeros(1024, np.int32)
         self.pool = np.zeros(4096, np.uint32)
@@ -95,24 +109,46 @@ class Encoder:
         self.pool[self.used : self.used + total] = [x for y in ids for x in y]
         self.used, self.entries = self.used + total, k
 
-    def look_up(self, text: str, cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The cache entry of each pre-token."""
+    def look_up(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The cache entry of each pre-token data[start : next start].
+
+        A slot of the table counts only if its bytes and length are those of the
+        pre-token; whatever the table does not hold is looked up in a dict.
+        """
         if self.entries > self.most:
             self.clear()
-        ends = np.append(starts[1:], len(cp))
-        h = B.hashes(cp, starts, ends, self.table)
-        slot = (h & self.mask).astype(np.int64)
+        size = np.diff(np.append(starts, len(data)))
+        from_here = B.eights(data)
+        slot, parts = size.astype(np.uint64), []
+        for k in range(0, HELD, 8):
+            part = np.zeros(len(starts), np.uint64)
+            some = np.flatnonzero(size > k) if k else slice(None)
+            part[some] = from_here[starts[some] + k] & B.FIRST[np.minimum(size[some] - k, 8)]
+            slot[some] = B.mix(slot[some] ^ part[some])
+            parts.append(part)
+        slot = (slot & self.mask).astype(np.int64)
         entry = self.entry[slot].astype(np.int64)
-        miss = np.flatnonzero((self.key[slot] != h) | (h == 0))
+        same = self.length[slot] == size
+        for held, part in zip(self.key, parts):
+            same &= held[slot] == part
+        miss = np.flatnonzero(~same)
         if len(miss):
-            fresh, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            pieces = [text[a:b] for a, b in zip(starts[miss[where]].tolist(), ends[miss[where]].tolist())]
-            at = self.entries
-            self._add(pieces)
-            entry[miss] = at + back
-            slot = (fresh & self.mask).astype(np.int64)
-            self.key[slot], self.entry[slot] = fresh, at + np.arange(len(fresh))
-            # where two new ones share a slot, the later one has both the key and the entry
+            raw, fresh = data.tobytes(), []
+            for i in miss.tolist():
+                piece = raw[starts[i] : starts[i] + size[i]]
+                at = self.known.get(piece)
+                if at is None:
+                    at = self.known[piece] = self.entries + len(fresh)
+                    fresh.append(piece.decode())
+                entry[i] = at
+            self._add(fresh)
+            short = miss[size[miss] <= HELD]
+            # of several that meet in a slot one must win as a whole
+            where, last = np.unique(slot[short][::-1], return_index=True)
+            short = short[::-1][last]
+            self.length[where], self.entry[where] = size[short], entry[short]
+            for held, part in zip(self.key, parts):
+                held[where] = part[short]
         return entry
 
     def ids_of(self, entry: np.ndarray) -> np.ndarray:
@@ -122,35 +158,59 @@ class Encoder:
 
     def pretokens(self, data: np.ndarray, off: np.ndarray):
         """For texts of Latin code points: (code points, their offsets by text, starts, text of each start, entry of each)."""
-        text = data.tobytes().decode("utf-8")
-        cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        lead = (data & 0xC0) != 0x80
         at = np.zeros(len(off), np.int64)
-        np.cumsum(B.per_text((data & 0xC0) != 0x80, off), out=at[1:])
+        np.cumsum(B.per_text(lead, off), out=at[1:])
         starts = cut(cp, at, self.classes)
-        return cp, at, starts, np.searchsorted(at, starts, "right") - 1, self.look_up(text, cp, starts)
+        entry = self.look_up(data, starts if len(cp) == len(data) else np.flatnonzero(lead)[starts])
+        return cp, at, starts, np.searchsorted(at, starts, "right") - 1, entry
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, how many each text has)."""
+        n = len(off) - 1
         if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
-        if data.max() < 0xC9:
-            _, _, starts, owner, entry = self.pretokens(data, off)
-            sizes = np.bincount(owner, self.count[entry], len(off) - 1).astype(np.int64)
+            return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+        parted = [m.start() for m in self.parting.finditer(data.tobytes())] if self.parting else []
+        if not parted and data.max() < 0xC9:
+            _, _, _, owner, entry = self.pretokens(data, off)
+            sizes = np.bincount(owner, self.count[entry], n).astype(np.int64)
             return self.ids_of(entry), sizes
-        parts, sizes = [], np.zeros(len(off) - 1, np.int64)
-        for i in range(len(off) - 1):
+        apart = set(np.searchsorted(off, parted, "right") - 1)
+        parts, sizes = [], np.zeros(n, np.int64)
+        for i in range(n):
             own = data[off[i] : off[i + 1]]
-            if len(own) and own.max() >= 0xC9:
-                ids = np.array(self.whole.encode_ordinary(own.tobytes().decode("utf-8")), np.uint32)
-            else:
-                ids = self.encode(own, np.array([0, len(own)]))[0]
+            ids = self._parted(own.tobytes()) if i in apart else self._one(own)
             parts.append(ids)
             sizes[i] = len(ids)
         return np.concatenate(parts), sizes
 
+    def _one(self, own: np.ndarray) -> np.ndarray:
+        if len(own) and own.max() >= 0xC9:
+            return np.array(self.whole.encode_ordinary(own.tobytes().decode("utf-8")), np.uint32)
+        if not len(own):
+            return np.zeros(0, np.uint32)
+        return self.ids_of(self.pretokens(own, np.array([0, len(own)]))[4])
+
+    def _parted(self, raw: bytes) -> np.ndarray:
+        """The ids of a text with added tokens in it: what stands between them is encoded for itself."""
+        out, at = [], 0
+        for m in self.parting.finditer(raw):
+            out += [self._one(np.frombuffer(raw[at : m.start()], np.uint8)), np.array([self.added[m[0]]], np.uint32)]
+            at = m.end()
+        return np.concatenate([*out, self._one(np.frombuffer(raw[at:], np.uint8))])
 
-def default_encoder(path: str | None = None) -> Encoder:
+
+def default_encoder(path: str | None = None, added: dict[str, int] | None = None) -> Encoder:
     """The encoder of the public 50,257-entry byte-level vocabulary; path: its .tiktoken file."""
     import public_tokenizers
 
-    return Encoder(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return Encoder(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added)
+
+
+def added_tokens(path: str | None = None) -> dict[str, int]:
+    """The added tokens of a tokenizers file, as it lists them."""
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}

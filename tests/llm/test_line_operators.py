@@ -72,6 +72,15 @@ def test_rules_base_as_brute_force(table, odd):
     assert linerules.line_quality(table([])).count() == 0
 
 
+def test_words_and_lines_of_equal_sums(table):
+    """Thue-Morse words, on which polynomial hashes modulo 2 ** 64 collide, are told apart."""
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    b = "".join("ba"[bin(k).count("1") % 2] for k in range(1024))
+    pairs = [(1, f"{a}\n{b}\n{a}"), (2, f"{a} x y {b} x y"), (3, f"{a[:32]} x y {b[:32]} x y {a[:32]} x y")]
+    got = sorted((r["doc_id"], *[r[c] for c in BASE]) for r in linerules.line_quality(table(pairs)).collect())
+    assert got == [(i, *brute_base(t)) for i, t in pairs] and got[0][4] == 1 and got[1][5] == 0
+
+
 WORDS = "river town bridge stone light evening people walk banks water cloud field".split()
 #: Eight lines in which no three words recur.
 PROSE = "\n".join("The " + " ".join(f"{w}{chr(97 + i)}" for w in WORDS) + " end." for i in range(8))

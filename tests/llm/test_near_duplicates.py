@@ -71,6 +71,13 @@ def test_odd_rows(table, odd):
     assert result(table([(1, None), (2, "")])) == [(1, 0, 1), (2, 0, 2)]
 
 
+def test_words_of_equal_sums(table):
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    b = "".join("ba"[bin(k).count("1") % 2] for k in range(1024))
+    pairs = [(1, a), (2, b), (3, f"{a} one two three four"), (4, f"{b} one two three four")]
+    assert result(table(pairs)) == brute(pairs) == [(i, 1, i) for i in range(1, 5)]
+
+
 def test_signatures_are_two_permutations(table):
     place = np.arange(1 << 16, dtype=np.uint32) * np.uint32(65537)
     a, b = np.empty_like(place), np.empty_like(place)

@@ -12,9 +12,8 @@ from tokenizers import Tokenizer
 
 from plumbline.llm import bytewords, editcount, packing, pretoken
 
-ENCODER = pretoken.default_encoder()
+ENCODER = pretoken.default_encoder(added=pretoken.added_tokens())
 EXACT = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-EXACT.encode_special_tokens = True
 
 
 def ids(text):
@@ -38,6 +37,29 @@ def test_ids_are_those_of_tokenizers(texts):
     assert encoded(texts) == [ids(t) for t in texts]
 
 
+def morse(a, b, n=1024):
+    """The Thue-Morse word over two strings, on which polynomial hashes modulo 2 ** 64 collide."""
+    return "".join((a, b)[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_pretokens_are_compared():
+    a, b = morse("a", "b"), morse("b", "a")
+    assert encoded([a, b, b + a]) == [ids(a), ids(b), ids(b + a)]
+    small = pretoken.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, slots=4, most_entries=50)
+    rng = random.Random(3)
+    for _ in range(60):  # every slot is fought for, and the cache is emptied again and again
+        texts = ["".join(rng.choice("abé \n") for _ in range(rng.randrange(60))) for _ in range(5)]
+        for _, _, data, off in bytewords.chunks(pa.array(texts)):
+            got, n = small.encode(data, off)
+            assert [x.tolist() for x in np.split(got, np.cumsum(n)[:-1])] == [ids(t) for t in texts]
+
+
+def test_added_tokens():
+    assert ids("a<|endoftext|>b") == [64, 50256, 65]
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x", " <|endoftext|> <|endoftext|>é中<|endof", ""]
+    assert encoded(texts) == [ids(t) for t in texts]
+
+
 def test_round_trip(table, odd):
     rng = random.Random(2)
     pairs = odd[:4] + odd[5:12] + [(100 + k, " ".join(rng.choice(["alpha", "Beta", "γάμμα", "don't", "12"]) for _ in range(rng.choice([1, 30, 400, 2500])))) for k in range(60)]
