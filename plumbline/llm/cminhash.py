@@ -7,9 +7,10 @@ link is confirmed by the exact Jaccard similarity of the full shingle sets.
 
 Candidates are never expanded into the pairs of a bucket.  Texts with equal
 sets are one class from the start.  Each class is compared with the least
-member of its buckets; classes joined that way are merged.  Members of a
-bucket that are still apart after that are compared in blocks, by signature and
-then by full sets, and only the links found leave the tasks.
+member of its buckets; classes joined that way are merged.  Where a bucket still
+spans components after that, its members outside the largest of them are
+compared with all its members, by signatures, in blocks; texts move only for the
+pairs that signatures leave.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as B
-from .components import components, saved
+from .components import components, meeting, saved
 
 U32 = np.uint32
 TURN = 0x3C6EF35F  # places by which the second permutation turns from one coordinate to the next
@@ -133,105 +134,87 @@ def _confirmer(words: int, percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, salts: int = 64) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, salts: int = 64, few: int = 100_000) -> DataFrame:
     """The pairs (a, b) whose full sets are similar.
 
     b's text is sent once to each of up to `salts` groups of its partners, so a
     text with very many partners is spread over tasks; a's text goes with the pair.
     """
+    if pairs.limit(few + 1).count() <= few:  # a checked size: their texts are picked out where they are
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        docs = docs.join(F.broadcast(ends), "doc_id", "left_semi")
     pairs = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int").alias("salt"))
     lead = pairs.select("b", "salt").distinct().select("b", "salt", F.lit(0).alias("tag"), F.lit(None).cast("long").alias("a"), F.col("b").alias("doc_id"))
     both = lead.union(pairs.select("b", "salt", F.lit(1), "a", F.col("a").alias("doc_id"))).join(docs.select("doc_id", "text"), "doc_id").drop("doc_id")
     return both.repartition("b", "salt").sortWithinPartitions("b", "salt", "tag").mapInArrow(_confirmer(words, percent), "a long, b long")
 
 
-def _common(one: list[np.ndarray], two: list[np.ndarray], rows: np.ndarray):
-    """For each i of rows: how many members each set of two shares with one[i]."""
-    owner = np.repeat(np.arange(len(two)), [len(x) for x in two])
-    flat = np.concatenate(two) if two else np.zeros(0, np.uint64)
-    order_ = np.argsort(flat, kind="stable")
-    flat, owner = flat[order_], owner[order_]
-    for i in rows:
-        lo, hi = np.searchsorted(flat, one[i], "left"), np.searchsorted(flat, one[i], "right")
-        n = hi - lo
-        stop = np.cumsum(n)
-        yield i, np.bincount(owner[np.repeat(lo - stop + n, n) + np.arange(stop[-1] if len(stop) else 0)], minlength=len(two))
+def _strangers(percent: int, least: int):
+    """Rows sorted by (bucket, part, side): the pairs of a member of the part and a stranger that could be linked.
 
-
-def _apart(words: int, percent: int, least: int):
-    """Rows sorted by (key, left, right, side): the links between two blocks of a bucket that join different components.
-
-    Signatures say which members could be linked at all, full sets whether they
-    are; only links leave the task.
+    side 0: strangers, the bucket's members outside its largest component, all of
+    one block of them; side 1: members of the part.  Only pairs of different
+    components whose sizes and signatures allow a link leave the task.
     """
 
-    def links(one, two, same):
-        marks = [x[1] for x in one]
-        ids, sizes, comps = (np.array([x[k] for x in one]) for k in (0, 2, 3))
-        ids2, sizes2, comps2 = (np.array([x[k] for x in two]) for k in (0, 2, 3))
-        m = np.frombuffer(b"".join(x[1] for x in two), np.uint8).reshape(len(ids2), -1)
-        near: dict[int, np.ndarray] = {}
-        for i in range(len(ids)):
-            like = (comps2 != comps[i]) & (100 * sizes2 >= percent * sizes[i]) & (percent * sizes2 <= 100 * sizes[i])
-            if same:
-                like &= ids2 > ids[i]
-            like = np.flatnonzero(like)
-            like = like[(m[like] == np.frombuffer(marks[i], np.uint8)).sum(1) >= least]
-            if len(like):
-                near[i] = like
-        if not near:
-            return
-        sets = {id(x): _sets([r[4] for r in x], words) for x in ((one,) if same else (one, two))}
-        for i, shared in _common(sets[id(one)], sets[id(two)], list(near)):
-            j = near[i]
-            both = shared[j]
-            for k in j[100 * both >= percent * (sizes[i] + sizes2[j] - both)]:
-                yield (int(ids2[k]), int(ids[i])) if ids2[k] > ids[i] else (int(ids[i]), int(ids2[k]))
+    def block(rows):
+        ids, sizes, comps = (np.array([x[k] for x in rows], np.int64) for k in (0, 2, 3))
+        return ids, sizes, comps, np.frombuffer(b"".join(x[1] for x in rows), np.uint8).reshape(len(rows), -1)
 
-    def flush(now, sides):
-        if sides[0] and (sides[1] or now[1] == now[2]):
-            yield from links(sides[0], sides[1] or sides[0], now[1] == now[2])
+    def pairs(strangers, members):
+        if not strangers or not members:
+            return
+        ids, sizes, comps, marks = block(members)
+        for doc, mark, n, comp in strangers:
+            like = np.flatnonzero((comps != comp) & (100 * sizes >= percent * n) & (percent * sizes <= 100 * n))
+            for j in like[(marks[like] == np.frombuffer(mark, np.uint8)).sum(1) >= least].tolist():
+                yield (max(doc, int(ids[j])), min(doc, int(ids[j])))
 
     def rows(found):
-        found = list(dict.fromkeys(found))
+        found = sorted(set(found))
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["a", "b"])
 
     def run(batches):
-        now, sides = None, ([], [])
+        now, strangers, members = None, [], []
         for batch in batches:
             found = []
-            for key, left, right, side, doc, mark, n, comp, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if (key, left, right) != now:
-                    if now:
-                        found += flush(now, sides)
-                    now, sides = (key, left, right), ([], [])
-                sides[side].append((doc, mark, n, comp, text))
+            for bucket, part, side, doc, mark, n, comp in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bucket, part) != now:
+                    found += pairs(strangers, members)
+                    now, strangers, members = (bucket, part), [], []
+                (members if side else strangers).append((doc, mark, n, comp))
             yield rows(found)
-        if now:
-            yield rows(flush(now, sides))
+        yield rows(pairs(strangers, members))
 
     return run
 
 
-def _sets(texts: list[str], words: int) -> list[np.ndarray]:
-    return [x for _, _, data, off in B.chunks(pa.array(texts, pa.string())) for x in shingle_sets(data, off, words)]
+def _far_pairs(crowd: DataFrame, marks: DataFrame, joined: DataFrame, percent: int, least: int, block: int) -> DataFrame:
+    """Pairs (a, b), a > b, of members of one bucket that are in different components and could be linked.
 
-
-def _linked_apart(crowd: DataFrame, marks: DataFrame, texts: DataFrame, joined: DataFrame, words: int, percent: int, block: int, least: int) -> DataFrame:
-    """Links (a, b), a > b, of members of one bucket that are in different components.
-
-    A bucket of many members is dealt in blocks by a hash of the document, and
-    each pair of blocks is a task's work, so no task holds more than two blocks.
+    Buckets of the same members are one.  A bucket's members are dealt over
+    parts of about `block`; its strangers, the members outside its largest
+    component, are dealt likewise, and each block of them goes to every part.  So
+    the work is the number of strangers times the number of members, and no task
+    holds more than two blocks.  Work starts from ids; signatures are added to
+    those buckets alone that span components.
     """
-    placed = crowd.select("key", "doc_id").join(joined, "doc_id", "left").withColumn("comp", F.coalesce("component_id", "doc_id")).drop("component_id")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", (F.col("size") / block).cast("int").alias("last"))
-    apart = placed.join(mixed, "key").join(marks, "doc_id").join(texts.select("doc_id", "text"), "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("last") + 1).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("last")), lambda o: F.struct(F.least(o, "own").alias("left"), F.greatest(o, "own").alias("right"), (F.col("own") > o).cast("int").alias("side")))
-    apart = apart.select("key", F.explode(cells).alias("cell"), "doc_id", "mark", "n", "comp", "text").select("key", "cell.left", "cell.right", "cell.side", "doc_id", "mark", "n", "comp", "text")
-    return apart.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "side").mapInArrow(_apart(words, percent, least), "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 40, rows: int = 5, block: int = 512) -> DataFrame:
+    placed = crowd.join(joined, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("comp"))
+    per = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    mixed = per.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most")).where("most < size")
+    mixed = saved(mixed.select("key", "main", "size", (F.col("size") / block).cast("int").alias("last"), ((F.col("size") - F.col("most")) / block).cast("int").alias("far")))
+    total = mixed.agg(F.sum("size")).first()[0] or 0
+    rows = meeting(placed, mixed.withColumn("of", F.col("size")), ["key"], total, F.xxhash64("doc_id")).join(marks, "doc_id")
+    deal = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n) + 1).cast("int")
+    part = lambda far, near: F.struct(far.alias("far"), near.alias("near"))
+    here, there = deal("last", 1), deal("far", 2)
+    member = rows.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("far")), lambda f: part(f, here))).alias("part"), F.lit(1).alias("side"), "doc_id", "mark", "n", "comp")
+    stranger = rows.where("comp <> main").select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("last")), lambda m: part(there, m))).alias("part"), F.lit(0).alias("side"), "doc_id", "mark", "n", "comp")
+    cells = member.union(stranger).withColumn("part", F.col("part.far") * F.lit(1 << 32).cast("long") + F.col("part.near"))
+    return cells.repartition("key", "part").sortWithinPartitions("key", "part", "side").mapInArrow(_strangers(percent, least), "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 40, rows: int = 5, block: int = 2048) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (least doc_id that can be reached).
 
     docs: doc_id (an integer) and text; other columns are ignored.  A null text
@@ -248,36 +231,40 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     signed = saved(docs.mapInArrow(_signer(words, bands, rows), "doc_id long, n_shingles long, digest binary, mark binary, keys array<long>"))
     usable = signed.where("doc_id is not null and n_shingles > 0")
     classes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-    shared = saved(classes.where("size > 1").select("digest", "rep"))
-    named = usable.join(shared, "digest", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    heads = named.where("doc_id = rep").select("doc_id", F.col("n_shingles").alias("n"), "mark", "keys").dropDuplicates(["doc_id"])
-    members = heads.select("doc_id", F.explode("keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("size")).where("size > 1").select("key", "low")
-    crowd = saved(members.join(buckets, "key").select("key", "doc_id", "low"))
-    texts = saved(docs.join(crowd.select("doc_id").distinct(), "doc_id"))  # the one time that all texts move
+    shared = saved(classes.where("size > 1"))
+    n_shared = shared.agg(F.sum("size")).first()[0] or 0
+    of_class = saved(meeting(usable.select("doc_id", "digest"), shared, ["digest"], n_shared, F.xxhash64("doc_id")).select("doc_id", "digest", "rep").distinct())
+    heads = usable.select("doc_id", "digest", "keys").join(of_class.where("doc_id <> rep").select("doc_id", "digest"), ["doc_id", "digest"], "left_anti")
+    members = heads.dropDuplicates(["doc_id", "digest"]).select("doc_id", F.explode("keys").alias("key"))
+    buckets = members.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("who")).where("size > 1")
+    # buckets of the same members are one
+    buckets = saved(buckets.groupBy("low", "size", "who").agg(F.min("key").alias("key")).select("key", "low", "size"))
+    n_crowd = buckets.agg(F.sum("size")).first()[0] or 0
+    crowd = saved(meeting(members, buckets, ["key"], n_crowd, F.xxhash64("doc_id")).select("key", "doc_id", "low"))
+    marks = usable.select("doc_id", "mark", F.col("n_shingles").alias("n"))
+    # the bound lies 5.3 standard deviations below what a pair at the threshold has on average
+    coordinates, share = bands * rows, percent / 100
+    least = int(coordinates * share - 5.3 * (coordinates * share * (1 - share)) ** 0.5)
 
     # Each member against the least of its buckets: first the one it meets most often, then the others it is not joined with.
     stars = saved(crowd.where("doc_id <> low").groupBy(F.col("doc_id").alias("a"), F.col("low").alias("b")).agg(F.count("*").alias("meets")))
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("meets", -F.col("b"))).alias("b"))
-    links = saved(confirmed(best, texts, words, percent))
+    best = saved(stars.groupBy("a").agg(F.max_by("b", F.struct("meets", -F.col("b"))).alias("b")))
+    # a doc_id with several texts joins their classes
+    several = usable.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
+    own = of_class.join(several, "doc_id").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = saved(confirmed(best, docs, words, percent).union(own))  # the one time that all texts move
     joined = saved(components(links))
-    least = int(bands * rows * percent / 100 - 5.3 * (bands * rows * percent / 100 * (1 - percent / 100)) ** 0.5)
-    more = _across(stars.select("a", "b"), joined)
-    marks = heads.select("doc_id", "mark", "n")
-    more = saved(_plausible(more, marks, least, percent))
-    if not more.isEmpty():
-        links = saved(links.union(confirmed(more, texts, words, percent)))
-        joined = saved(components(links))
-
-    # Members of one bucket that are still apart, block against block; only links leave the tasks.
-    new = saved(_linked_apart(crowd, marks, texts, joined, words, percent, block, least))
-    if not new.isEmpty():
-        joined = saved(components(links.union(new)))
-    by_class = shared.join(joined, shared.rep == joined.doc_id, "left").select("digest", F.coalesce("component_id", "rep").alias("of_class"))
-    return (
-        signed.join(by_class, "digest", "left").join(joined, "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("of_class", "component_id", "doc_id").alias("component_id"))
-    )
+    for more in (lambda: _plausible(_across(stars.select("a", "b"), joined), marks, least, percent), lambda: _far_pairs(crowd, marks, joined, percent, least, block)):
+        pairs = saved(more())
+        if not pairs.isEmpty():
+            new = saved(confirmed(pairs, docs, words, percent))
+            if not new.isEmpty():
+                links = saved(links.union(new))
+                joined = saved(components(links))
+    rep_of = of_class.groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    roots = rep_of.join(joined.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("component_id", "rep").alias("component_id"))
+    alone = joined.join(of_class, "doc_id", "left_anti")
+    return signed.select("doc_id", "n_shingles").join(roots.union(alone), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _across(pairs: DataFrame, joined: DataFrame) -> DataFrame:
@@ -299,4 +286,4 @@ def _plausible(pairs: DataFrame, marks: DataFrame, least: int, percent: int) ->
     a = marks.select(F.col("doc_id").alias("a"), F.col("mark").alias("mark_a"), F.col("n").alias("n_a"))
     b = marks.select(F.col("doc_id").alias("b"), F.col("mark").alias("mark_b"), F.col("n").alias("n_b"))
     both = pairs.join(a, "a").join(b, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return both.select("a", "b", "mark_a", "mark_b").mapInArrow(_agree, "a long, b long, agree long").where(F.col("agree") >= least).select("a", "b")
+    return both.select("a", "b", "mark_a", "mark_b").mapInArrow(_agree, "a long, b long, agree long").where(F.col("agree") >= least).select("a", "b").distinct()

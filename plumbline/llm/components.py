@@ -1,70 +1,88 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components of an edge table, by alternating large and small stars, and joins that split their hot keys."""
 
 from __future__ import annotations
 
-import gc
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A key is hot with more than one row in HOT of all; so there are fewer than HOT hot keys, whatever the data.
+HOT = 2000
+SALTS = 64
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir as the cluster sets it.
 
-    Only where it is unset (tests on one machine) is a folder below the warehouse taken.
+    Only on one machine, where it is unset, a folder below the warehouse is taken.
     """
-    return (
-        spark.conf.get("spark.checkpoint.dir", None)
-        or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    )
+    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not told and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set - it must name a folder that driver and executors share")
+    return told or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    out = df.checkpoint()
-    # Spark deletes the shuffle files behind a checkpoint once the driver has collected the plan as garbage
-    del df
-    gc.collect()
-    context._jvm.System.gc()
-    return out
+    """df, computed once and kept in the shared folder; the shuffle files behind it go when it is done."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        own = df.select("*")  # a plan of its own, made under this setting
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return own.checkpoint()
+
+
+def meeting(rows: DataFrame, table: DataFrame, keys: list[str], total: int, spread: Column, size: str = "size") -> DataFrame:
+    """rows joined with table on keys; table has one row a key, whose column `size` says how many of rows hold it.
+
+    total: the number of rows, or a bound of it.  Hot keys, fewer than HOT of
+    them, are told to all tasks, which deal their rows over SALTS groups by
+    spread; their row of table goes to each of these groups.
+    """
+    hot = table.where(F.col(size) * HOT > total).select(*keys, F.lit(SALTS).alias("__plumb_salts"))
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("__plumb_salt", F.when(F.col("__plumb_salts").isNull(), 0).otherwise(F.pmod(spread, F.lit(SALTS)).cast("int")))
+    last = F.when(F.col(size) * HOT > total, SALTS - 1).otherwise(0)
+    dealt = table.withColumn("__plumb_salt", F.explode(F.sequence(F.lit(0), last))).drop(size)
+    return salted.drop("__plumb_salts").join(dealt, [*keys, "__plumb_salt"]).drop("__plumb_salt")
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    """Every (u, v) with v the neighbour: all of u's larger neighbours, and u, point to the least one."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+def _star(edges: DataFrame, total: int) -> DataFrame:
+    """Every (u, v) with m, the least of u and its neighbours."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")).select("u", F.least("u", "m").alias("m"), "size")
+    return meeting(edges, least, ["u"], total, F.xxhash64("v"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every end of an edge (a, b); component_id is the least id that can be reached.
 
     Each round costs two aggregations and two joins on the edges alone; stars
-    shrink the depth of a tree by half or more in a round.  Self loops, repeated
-    and null edges are ignored; no edges give no rows.
+    shrink the depth of a tree by half or more in a round, and rounds go on until
+    one changes nothing.  Self loops, repeated and null edges are ignored; no
+    edges give no rows.
     """
     edges = saved(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .where("u is not null and v is not null and u <> v")
         .distinct()
     )
-    mark = None
-    for _ in range(max_rounds):
+    state = lambda: edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    mark = state()
+    while mark[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        small = _star(large)
+        large = _star(both, 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = _star(large, 2 * mark[0])
         edges = saved(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(small.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
+        last, mark = mark, state()
+        if mark == last:
             break
-        mark = now
     roots = edges.groupBy("u").agg(F.min("v").alias("v"))
     return roots.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")).union(
         roots.select(F.col("v").alias("doc_id"), F.col("v").alias("component_id")).distinct()

@@ -103,5 +103,17 @@ common AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20 GR
 judged AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.last AS lost FROM keyed k LEFT JOIN common c USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
+""",
+    "op9_circulant_minhash": r"""
+WITH RECURSIVE word AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingle AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS i FROM word WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id > y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM met JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * common >= 75 * (p.n + q.n - common)),
+way AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a AS doc_id, b AS seen FROM way UNION SELECT r.doc_id, w.b FROM reach r JOIN way w ON w.a = r.seen),
+least AS (SELECT doc_id, min(seen) AS low FROM reach GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id <= coalesce(low, doc_id) AS kept
+FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN least USING (doc_id)
 """,
 }

@@ -89,25 +89,44 @@ def test_signatures_are_two_permutations(table):
     assert abs((sig[0] == sig[1]).mean() - 3000 / 4500) < 0.08
 
 
-def test_blocks_find_what_stars_miss():
-    """Members of a bucket in different components are compared in blocks; signatures choose, full sets decide."""
+def test_strangers_meet_all_members():
+    """Members outside the largest component of a bucket are held against all its members; signatures and sizes choose."""
     import pyarrow as pa
 
-    base = [f"w{i}" for i in range(40)]
-    texts = [" ".join(base), " ".join([*base, "x"]), " ".join([*base[:36], "y"]), " ".join(f"z{i}" for i in range(40)), " ".join([*base[:20], *[f"q{i}" for i in range(20)]])]
-    names = ["key", "left", "right", "side", "doc", "mark", "n", "comp", "text"]
-    n = [len(shingles(t)) for t in texts]
-
-    def run(cells, comps=(1, 2, 3, 4, 5)):
-        cols = [[9] * 5, [c[0] for c in cells], [c[1] for c in cells], [c[2] for c in cells], [1, 2, 3, 4, 5], [b"\x01\x02\x03\x00"] * 5, n, list(comps), texts]
-        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
-        return {(x["a"], x["b"]) for b in cminhash._apart(5, 75, 3)(iter([batch])) for x in b.to_pylist()}
-
-    want = {(j + 1, i + 1) for j in range(5) for i in range(j) if 100 * len(shingles(texts[i]) & shingles(texts[j])) >= 75 * len(shingles(texts[i]) | shingles(texts[j]))}
-    assert want == {(2, 1), (3, 1), (3, 2)}
-    assert run([(0, 0, 0)] * 5) == want
-    assert run([(0, 0, 0)] * 5, (1, 1, 3, 4, 5)) == {(3, 1), (3, 2)}  # those of one component are left out
-    assert run([(0, 1, 0), (0, 1, 1), (0, 1, 0), (0, 1, 1), (0, 1, 1)]) == {(2, 1), (3, 2)}
+    names = ["key", "part", "side", "doc", "mark", "n", "comp"]
+    marks = {1: b"abcd", 2: b"abcd", 3: b"abcx", 4: b"wxyz", 5: b"abcd"}
+    n, comp = {1: 40, 2: 40, 3: 40, 4: 40, 5: 90}, {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    cells = [(9, 0, 0, d) for d in (3, 4, 5)] + [(9, 0, 1, d) for d in (1, 2, 3, 4, 5)] + [(9, 1, 1, 1), (9, 2, 0, 3), (9, 2, 1, 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*[(k, p, s, d, marks[d], n[d], comp[d]) for k, p, s, d in cells])], names=names)
+    found = [[(x["a"], x["b"]) for x in b.to_pylist()] for b in cminhash._strangers(75, 3)(iter([batch.slice(0, 4), batch.slice(4)]))]
+    assert sorted(p for f in found for p in f) == [(3, 1), (3, 2), (3, 2)]
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_bucket_of_several_components(spark, table, block):
+    """Texts whose nearest ones are not the least of any bucket; blocks of three are many."""
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(400)]
+    base = [rng.choice(vocabulary) for _ in range(60)]
+    pairs = []
+    for k in range(14):  # a chain: each differs from the one before by a little, from the first by a lot
+        base = [*base[2:], rng.choice(vocabulary), rng.choice(vocabulary)]
+        pairs += [(rng.randrange(10**6), " ".join(base)), (rng.randrange(10**6), " ".join([*base, "end"]))]
+    pairs += [(5, pairs[0][1]), (5, pairs[-1][1]), (5, pairs[-1][1])]  # one id, two texts
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in cminhash.near_duplicates(table(pairs), block=block).collect()), key=repr)
+    assert got == brute(pairs)
+
+
+def test_meeting_deals_hot_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from plumbline.llm import components as C
+
+    monkeypatch.setattr(C, "HOT", 5)
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 100, k) for k in range(90)] + [(None, 1)], "key long, doc_id long")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.max("doc_id").alias("top")).where("key > 2")
+    got = sorted(map(tuple, C.meeting(rows, sizes, ["key"], 90, F.xxhash64("doc_id")).select("key", "doc_id", "top").collect()))
+    assert got == sorted(map(tuple, rows.join(sizes, "key").select("key", "doc_id", "top").collect()))
 
 
 def test_components(spark):
