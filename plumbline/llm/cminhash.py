@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as B
-from .components import components, meeting, saved
+from .components import components, meeting, merged, of_components, saved
 
 U32 = np.uint32
 TURN = 0x3C6EF35F  # places by which the second permutation turns from one coordinate to the next
@@ -252,15 +252,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     # a doc_id with several texts joins their classes
     several = usable.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
     own = of_class.join(several, "doc_id").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = saved(confirmed(best, docs, words, percent).union(own))  # the one time that all texts move
-    joined = saved(components(links))
+    joined = saved(components(confirmed(best, docs, words, percent).union(own)))  # the one time that all texts move
     for more in (lambda: _plausible(_across(stars.select("a", "b"), joined), marks, least, percent), lambda: _far_pairs(crowd, marks, joined, percent, least, block)):
         pairs = saved(more())
         if not pairs.isEmpty():
             new = saved(confirmed(pairs, docs, words, percent))
             if not new.isEmpty():
-                links = saved(links.union(new))
-                joined = saved(components(links))
+                joined = saved(merged(joined, new))
     rep_of = of_class.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     roots = rep_of.join(joined.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("component_id", "rep").alias("component_id"))
     alone = joined.join(of_class, "doc_id", "left_anti")
@@ -269,10 +267,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
 
 def _across(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     """The pairs whose ends lie in different components."""
-    a = joined.select(F.col("doc_id").alias("a"), F.col("component_id").alias("comp_a"))
-    b = joined.select(F.col("doc_id").alias("b"), F.col("component_id").alias("comp_b"))
-    out = pairs.join(a, "a", "left").join(b, "b", "left")
-    return out.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+    return of_components(pairs, joined).where("comp_a <> comp_b").select("a", "b")
 
 
 def _agree(batches):

@@ -56,34 +56,56 @@ def _star(edges: DataFrame, total: int) -> DataFrame:
     return meeting(edges, least, ["u"], total, F.xxhash64("v"))
 
 
+def _flat(edges: DataFrame, n: int) -> bool:
+    """Whether every u points to one v, and no v further on."""
+    if n != edges.select("u").distinct().count():
+        return False
+    return edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every end of an edge (a, b); component_id is the least id that can be reached.
 
     Each round costs two aggregations and two joins on the edges alone; stars
     shrink the depth of a tree by half or more in a round, and rounds go on until
-    one changes nothing.  Self loops, repeated and null edges are ignored; no
-    edges give no rows.
+    only flat trees are left.  Self loops, repeated and null edges are ignored;
+    no edges give no rows.
     """
     edges = saved(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .where("u is not null and v is not null and u <> v")
         .distinct()
     )
-    state = lambda: edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    mark = state()
-    while mark[0]:
+    n = edges.count()
+    while n and not _flat(edges, n):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        small = _star(large, 2 * mark[0])
+        large = saved(_star(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        small = _star(large, 2 * n)
         edges = saved(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(small.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        last, mark = mark, state()
-        if mark == last:
-            break
-    roots = edges.groupBy("u").agg(F.min("v").alias("v"))
-    return roots.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")).union(
-        roots.select(F.col("v").alias("doc_id"), F.col("v").alias("component_id")).distinct()
+        n = edges.count()
+    return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")).union(
+        edges.select(F.col("v").alias("doc_id"), F.col("v").alias("component_id")).distinct()
     )
+
+
+def of_components(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs (a, b) with comp_a and comp_b, the components of their ends; an end in none is one of its own."""
+    a = joined.select(F.col("doc_id").alias("a"), F.col("component_id").alias("comp_a"))
+    b = joined.select(F.col("doc_id").alias("b"), F.col("component_id").alias("comp_b"))
+    return pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("comp_a", "a").alias("comp_a"), F.coalesce("comp_b", "b").alias("comp_b"))
+
+
+def merged(joined: DataFrame, links: DataFrame, told: int = 200_000) -> DataFrame:
+    """joined after links (a, b) between its components: only these are gone through again.
+
+    Up to `told` components that change are told to all tasks, a checked size;
+    more are joined by shuffle.
+    """
+    change = saved(components(of_components(links, joined).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))))
+    new = change.select(F.col("doc_id").alias("component_id"), F.col("component_id").alias("__plumb_new"))
+    moved = joined.join(F.broadcast(new) if change.count() <= told else new, "component_id", "left").select("doc_id", F.coalesce("__plumb_new", "component_id").alias("component_id"))
+    return moved.union(change.join(joined, "doc_id", "left_anti"))
