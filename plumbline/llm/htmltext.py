@@ -1,12 +1,15 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped to lines, one a block element.  Text lengths are summed over
-sliding windows of lines; where the sum surges the main text begins, where it
-dives it ends, and the lines between are kept.  Furniture that its element or
-its class names (menus, footers, adverts, forms, comments ...) leaves empty
-lines, so it makes a dive and never text.  In an article or main element any
-character is a surge and only its end a dive; it clips the page to itself where
-no run of lines outside is longer, and does not count inside furniture.
+Markup is stripped to lines, one a block element.  Each line weighs its
+characters; these are summed over sliding windows of lines.  A run of text goes
+from where the sum rises from nothing, by a surge somewhere in it, to where it
+dives to nothing again.  The lines between are kept, for the weightiest run and
+those that belong to it.
+
+Structure is one weight among others.  What its element or its class names as
+furniture (menus, footers, adverts, forms, comments ...) weighs nothing, links
+weigh against a line, and in an article or main element outside furniture any
+character is enough for a surge, and a run does not leave the element.
 """
 
 from __future__ import annotations
@@ -52,10 +55,16 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 @dataclass(frozen=True)
 class Blocks:
-    """window: lines in a sum.  surge: characters that begin a main text outside articles.  share: of the largest text, for another to be kept."""
+    """window: lines in a sum.
+
+    surge: the sum that a run reaches, but no more than half of the page's
+    greatest.  article: by how much a character in an article or main weighs more
+    than one outside.  share: of the weightiest run, for another to be kept.
+    """
 
     window: int = 3
     surge: int = 100
+    article: int = 100
     share: float = 0.3
 
 
@@ -69,7 +78,7 @@ class Line(NamedTuple):
 
     @property
     def weight(self) -> int:
-        return max(0, len(self.text) - 2 * self.linked)
+        return len(self.text) if self.bound > 0 else max(0, len(self.text) - 2 * self.linked)
 
 
 def _names(value: str) -> set[str]:
@@ -242,25 +251,42 @@ def _own_heading(stack: list[tuple]) -> bool:
     return k >= 0 and not stack[k][1] and any(x[0] == "header" for x in stack[k + 1 :])
 
 
-def _runs(lines: list[Line], blocks: Blocks) -> list[tuple[int, int, int]]:
-    """(characters, first line, line after the last) of the runs between surges and dives outside articles."""
-    weight = [0 if line.bound else line.weight for line in lines]
-    n = len(lines)
+class Run(NamedTuple):
+    """size: its characters by weight.  lo, hi: the first line and the one after the last.  bound: as in Line, 0 outside articles."""
+
+    size: int
+    lo: int
+    hi: int
+    bound: int
+
+
+def runs_of(lines: list[Line], blocks: Blocks) -> list[Run]:
+    """The runs between surges and dives; furniture breaks them as empty lines do."""
+    weight = [0 if line.bound < 0 else line.weight for line in lines]
+    sums = [0]
+    for w, line in zip(weight, lines):
+        sums.append(sums[-1] + w * (blocks.article if line.bound > 0 else 1))
     total = [0]
     for w in weight:
         total.append(total[-1] + w)
-    block = [total[min(i + blocks.window, n)] - total[i] for i in range(n)]
-    runs, i = [], 0
-    while i < n:
-        if not weight[i] or block[i] < blocks.surge:
-            i += 1
-            continue
-        j = i
-        while j < n and block[j]:
-            j += 1
-        runs.append((total[j] - total[i], i, j))
-        i = j
-    return runs
+    out, n, start = [], len(lines), 0
+    regions = []
+    for i in range(1, n + 1):  # a window does not look into an article or out of it
+        if i == n or lines[i].bound != lines[start].bound:
+            regions.append((start, i, [sums[min(k + blocks.window, i)] - sums[k] for k in range(start, i)]))
+            start = i
+    surge = min(blocks.surge, max((max(block) for *_, block in regions), default=0) / 2)
+    for lo, hi, block in regions:
+        i = lo
+        while i < hi:
+            j = i
+            while j < hi and block[j - lo]:
+                j += 1
+            first = next((k for k in range(i, j) if weight[k]), j)  # the sum looks ahead of the first text
+            if first < j and max(block[first - lo : j - lo]) >= surge:
+                out.append(Run(total[j] - total[first], first, j, max(0, lines[first].bound)))
+            i = j + 1
+    return out
 
 
 def _container(elements: set[int], tree: dict[int, tuple[int, int]]) -> int:
@@ -272,31 +298,29 @@ def _container(elements: set[int], tree: dict[int, tuple[int, int]]) -> int:
 
 
 def main_lines(lines: list[Line], parents: list[int], tree: dict[int, tuple[int, int]], blocks: Blocks) -> list[str]:
-    """The lines between surges and dives: the largest run, those beside it in its container, and those of a share of its size."""
-    held: dict[int, int] = {}
-    for line in lines:
-        if line.bound > 0 and line.text:
-            held[line.bound] = held.get(line.bound, 0) + line.weight
-    runs = _runs(lines, blocks)
-    most = max((r[0] for r in runs), default=0)
-    top = max(held, key=held.__getitem__, default=0)
-    if top and held[top] >= most:
-        kept = {b for b, size in held.items() if parents[b] == parents[top] or size >= blocks.share * held[top]}
-        return [line.text for line in lines if line.bound in kept and line.text]
+    """The lines of the weightiest run, of those beside it in its container, and of those of a share of its size.  The runs of one article count as one."""
+    runs = runs_of(lines, blocks)
     if not runs:  # nothing but what stands in furniture
         shaded = [line._replace(bound=-line.bound) for line in lines if line.bound < 0]
-        return main_lines(shaded, parents, tree, blocks) if shaded else []
-    within = lambda i, j: {x.element for x in lines[i:j] if x.weight and not x.bound}
-    home = _container(within(*max(runs)[1:]), tree)
-    kept = {b for b, size in held.items() if size >= blocks.share * most}
-    chosen = set()
-    for size, i, j in runs:
-        if size >= blocks.share * most or home and all(home <= e <= tree[home][1] for e in within(i, j)):
-            chosen.update(range(i, j))
-    return [
-        line.text for k, line in enumerate(lines)
-        if line.text and (line.bound in kept or k in chosen and not line.bound and line.linked * 2 <= len(line.text))
-    ]
+        return main_lines(shaded, parents, tree, blocks) if any(line.text for line in shaded) else []
+    held: dict[int, int] = {}
+    for run in runs:
+        if run.bound:
+            held[run.bound] = held.get(run.bound, 0) + run.size
+    size = lambda run: held[run.bound] if run.bound else run.size
+    best = max(runs, key=size)
+    within = lambda run: {x.element for x in lines[run.lo : run.hi] if x.weight and not x.bound}
+    home = 0 if best.bound else _container(within(best), tree)
+
+    def belongs(run: Run) -> bool:
+        if size(run) >= blocks.share * size(best):
+            return bool(run.bound) or not best.bound
+        if run.bound:
+            return bool(best.bound) and parents[run.bound] == parents[best.bound]
+        return bool(home) and all(home <= e <= tree[home][1] for e in within(run))
+
+    chosen = [run for run in runs if belongs(run)]
+    return [line.text for run in chosen for line in lines[run.lo : run.hi] if line.text and (run.bound or not line.bound and line.linked * 2 <= len(line.text))]
 
 
 def extract_text(page: str | None, blocks: Blocks = Blocks()) -> str:
@@ -307,9 +331,10 @@ def extract_text(page: str | None, blocks: Blocks = Blocks()) -> str:
 def extract(pages: DataFrame, blocks: Blocks = Blocks()) -> DataFrame:
     """pages with text and n_chars (code points) of the main text of `html`; html itself is dropped.
 
-    A null page has an empty text.  Columns of pages named text or n_chars are
-    replaced, others pass through; pages are read one by one and whole, without
-    a shuffle; an empty table gives no rows.
+    A null or empty page has an empty text.  Columns of pages named text or
+    n_chars are replaced, others pass through; pages are read one by one and
+    whole, however long, without a shuffle; repeated rows are read alike and an
+    empty table gives no rows.
     """
     others = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
     pages = pages.select(F.col("html").cast("string").alias("html"), *[F.col(f"`{c}`") for c in others])

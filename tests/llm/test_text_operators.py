@@ -1,5 +1,8 @@
+import html
+import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -134,7 +137,8 @@ MAIN = "A & B\nFirst paragraph with bold words here. And more.\nShort."
         (f"<article><header><h1>A &amp; B</h1><p>by me</p></header>{ARTICLE.split('</h1>')[1]}</article>", MAIN),
         (f"<article>{ARTICLE}</b></span><div class='cookie-notice'>We use cookies</div><!-- <p>no</p> --></article>", MAIN),
         ("<div><a href=1>one</a> <a href=2>two</a></div><div>" + "".join(f"<p>{'Long text of the story goes on. ' * 5}</p>" for _ in range(4)) + "</div><div class=sidebar>" + "x " * 200 + "</div>", "\n".join([("Long text of the story goes on. " * 5).strip()] * 4)),
-        ("<p>a < b and c", ""),
+        ("<p>a < b and c", "a < b and c"),  # the only text of its page
+        ("<div><a href=1>one</a></div><p>", ""),
         ("<article><p title='it\"s'>a</p><a href=\"x>b</a></article>", "a\nb"),
         ("<article><p>1 &lt; 2 &#x41; &eacute</p></article", "1 < 2 A é"),
     ],
@@ -185,6 +189,74 @@ def test_names_of_furniture(page, text):
     assert htmltext.extract_text(page) == "\n".join(x.strip() for x in text)
 
 
+def test_runs_as_brute_force():
+    """Surges and dives found by summing every window anew."""
+    rng = random.Random(6)
+    for _ in range(400):
+        lines = [htmltext.Line("x" * rng.choice([0, 0, 0, 1, 20, 60, 150]), rng.choice([0, 0, 5, 200]), b, 0) for b in rng.choices([0, 0, 1, -1], k=6) for _ in range(rng.randrange(1, 7))]
+        blocks = htmltext.Blocks(window=rng.choice([1, 2, 3, 4]))
+        weight = [0 if x.bound < 0 else len(x.text) if x.bound else max(0, len(x.text) - 2 * x.linked) for x in lines]
+        felt = [w * (blocks.article if x.bound > 0 else 1) for w, x in zip(weight, lines)]
+        same = lambda a, b: all(lines[k].bound == lines[a].bound for k in range(a, b + 1))
+        sums = [sum(felt[k] for k in range(i, min(i + blocks.window, len(lines))) if same(i, k)) for i in range(len(lines))]
+        surge = min(blocks.surge, max(sums) / 2)
+        want = []
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                if all(sums[i:j]) and same(i, j - 1) and (i == 0 or not sums[i - 1] or not same(i - 1, i)) and (j == len(lines) or not sums[j] or not same(j - 1, j)):
+                    first = min(k for k in range(i, j) if weight[k])
+                    if max(sums[first:j]) >= surge:
+                        want.append((sum(weight[first:j]), first, j, max(0, lines[first].bound)))
+        assert [tuple(r) for r in htmltext.runs_of(lines, blocks)] == want
+
+
+def plain_article(page):
+    """The blocks of a page's only article by cutting at tags, for pages without furniture in it."""
+    inner = re.search(r"<article[^>]*>(.*?)(</article>|</body>|$)", page, re.DOTALL)[1]
+    inner = re.sub(r"<!--.*?-->", "", inner, flags=re.DOTALL)
+    parts = re.split(r"</?(?:p|h[1-6]|div|ul|li|section|blockquote)\b[^>]*>", inner)
+    texts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br[^>]*>", " ", x))).split()) for x in parts]
+    return [x for x in texts if x]
+
+
+def token_f1(a, b):
+    a, b = Counter(a.split()), Counter(b.split())
+    return 2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values())) if a or b else 1.0
+
+
+def made_pages():
+    """Pages of kinds that the tables lack: link-heavy articles, long ones, unclosed tags, containers within containers, no text."""
+    rng = random.Random(11)
+    say = lambda lang, n: sentence(rng, lang, n).capitalize() + "."
+    around = ("<nav><ul>" + "".join(f"<li><a href=/{w}>{w}</a></li>" for w in "home news sport".split()) + "</ul></nav>", "<div class='sidebar widget'><p>" + say("en", 12) + "</p></div>", "<div id=cookie-banner>" + say("en", 8) + "</div>", "<footer><p>All rights reserved.</p></footer>")
+    for k in range(120):
+        lang = rng.choice(list(SAMPLES))
+        kind = ("links", "short", "long", "open", "nested", "list")[k % 6]
+        link = lambda t: f"<a href=x>{t}</a>"
+        p = {"links": lambda: f"<p>{say(lang, 20)} {link(say(lang, 4))} {say(lang, 9)}</p>", "short": lambda: f"<p>{say(lang, 4)}</p>", "list": lambda: f"<ul><li>{say(lang, 9)}</li><li>{say(lang, 14)}</li></ul>", "open": lambda: f"<p><b>{say(lang, 25)}"}.get(kind, lambda: f"<p>{say(lang, 25)}</p>")
+        body = f"<h1>{say(lang, 6)}</h1>" + "".join(p() for _ in range({"long": 3000, "short": 6}.get(kind, rng.randrange(3, 12))))
+        if kind == "nested":
+            body = f"<div class=content><div>{body}</div><div>{p()}{p()}</div></div>"
+        yield f"<html><head><title>t</title></head><body>{around[0]}{around[k % 3] if k % 3 else ''}<article>{body}</article>{around[2]}{around[3]}</body></html>"
+
+
+@pytest.mark.parametrize("bare", [False, True], ids=["article", "no_article"])
+def test_main_text_of_many_pages(bare):
+    """With the article element and without it: the lines' distribution must find the text."""
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    given_ = [x for x in pq.read_table(path, columns=["html"]).column(0).to_pylist() if x and "<article" in x] if os.path.exists(path) else []
+    scores = []
+    for page in [*given_, *made_pages()]:
+        want = "\n".join(plain_article(page))
+        got = htmltext.extract_text(re.sub(r"</?(?:article|main)\b[^>]*>", "", page) if bare else page)
+        scores.append(token_f1(got, want))
+        assert bare or got == want
+    assert len(scores) >= 120 and sum(scores) / len(scores) >= 0.98 and sum(x >= 0.95 for x in scores) >= 0.95 * len(scores)
+    assert htmltext.extract_text("<html><body><nav><a href=1>x</a></nav></body></html>") == ""
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", f"<article>{ARTICLE}</article>", "clash"), (2, None, None, None), (2, None, None, None)], "page_id long, url string, html string, text string")
     got = sorted((tuple(r) for r in htmltext.extract(df).select("page_id", "text", "n_chars").collect()))
