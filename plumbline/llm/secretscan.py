@@ -2,7 +2,10 @@
 
 A vocabulary of sub-words spends few tokens on words and names and many on
 random strings.  A candidate of few characters a token is reported, unless it
-is a known digest or an identifier.
+is a known digest or an identifier.  Candidates are the values that the
+assignment pattern finds and other long runs of key characters; the test judges
+them apart from the fixed patterns, so a string that both find has a span of each
+kind.
 """
 
 from __future__ import annotations
@@ -24,7 +27,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 HINTS = ("password", "passwd", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: One word as prose writes it; the shorter candidates must be more than that.
+PROSE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_SIZES = frozenset((32, 40, 56, 64, 96, 128))
@@ -32,21 +38,34 @@ PARTING = re.compile(r"[_/+=-]+")
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Words and a short number after them, or the number alone.
 PART = re.compile(r"[A-Za-z]*[0-9]{0,4}")
+#: One word in one case and a short number.
+PLAIN = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]*)[0-9]{0,4}")
 
 
 @dataclass(frozen=True)
 class Limits:
-    """assign_chars, access_chars: least lengths of the base kinds.  chars_per_token: candidates at or below are random, unless a name's words all reach word_chars_per_token."""
+    """assign_chars, access_chars: least lengths of the base kinds.  chars_per_token: candidates at or below are random, unless a name's words all reach word_chars_per_token.
+
+    prose_chars: a candidate below this length is left out if it is a single word
+    of letters; many languages have words that an English vocabulary cuts short.
+    """
 
     assign_chars: int = 12
     access_chars: int = 18
     chars_per_token: float = 2.0
     word_chars_per_token: float = 3.0
+    prose_chars: int = 20
 
 
 def identifier(s: str, encode, limits: Limits) -> bool:
-    """Names in snake, kebab, camel or path form: words that take few tokens each, hardly any of under 3 letters, and short numbers only after them."""
+    """Names in snake, kebab, camel or path form: words that take few tokens each, hardly any of under 3 letters, and short numbers only after them.
+
+    Of three parts or more, each a word in one case, no tokens are asked for:
+    words of other languages take many, and random strings do not fall like that.
+    """
     parts = PARTING.split(s)
+    if len(parts) >= 3 and all(PLAIN.fullmatch(x) for x in parts):
+        return True
     if not all(PART.fullmatch(x) for x in parts):
         return False
     words = [w for x in parts for w in WORD.findall(x)]
@@ -72,24 +91,35 @@ def base_spans(text: str, limits: Limits) -> list[tuple[str, int, int]]:
     return out
 
 
+def inefficient(s: str, encode, limits: Limits, assigned: bool = False) -> bool:
+    """Whether a string costs so many tokens that it must be random: few characters a token, and neither a digest nor a name.
+
+    assigned: it is the value of a password or key, where a string built like a
+    digest is one more secret and no checksum.
+    """
+    bare = s.strip("=")
+    if not any(c.isalpha() for c in s) or not assigned and known(bare) or len(s) > limits.chars_per_token * len(encode(s)):
+        return False
+    return not identifier(bare, encode, limits) and (len(s) >= limits.prose_chars or not PROSE.fullmatch(bare))
+
+
 def random_spans(text: str, encode, limits: Limits) -> list[tuple[str, int, int]]:
-    """Candidates with letters whose characters per token are few."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if not any(c.isalpha() for c in s) or known(s.strip("=")) or len(s) > limits.chars_per_token * len(encode(s)):
-            continue
-        if not identifier(s.strip("="), encode, limits):
-            out.append(("random", m.start(), m.end()))
-    return out
+    """Assigned values, and other long runs of key characters, that are inefficient."""
+    values = []
+    if any(hint in text.lower() for hint in HINTS):
+        values = [m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= limits.assign_chars]
+    others = [m.span() for m in CANDIDATE.finditer(text)]
+    if values:
+        others = [(a, b) for a, b in others if not any(x < b and a < y for x, y in values)]
+    found = [x for x in values if inefficient(text[slice(*x)], encode, limits, True)] + [x for x in others if inefficient(text[slice(*x)], encode, limits)]
+    return [("random", a, b) for a, b in sorted(found)]
 
 
 def scan_text(text: str, encode, limits: Limits = Limits()) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """(base spans, all spans), each by start and then kind as listed.  A random span inside a base one is left out."""
+    """(base spans, all spans), each by start and then kind as listed."""
     key = lambda x: (x[1], KINDS.index(x[0]))
     base = sorted(base_spans(text, limits), key=key)
-    more = [x for x in random_spans(text, encode, limits) if not any(b[1] < x[2] and x[1] < b[2] for b in base)]
-    return base, sorted(base + more, key=key)
+    return base, sorted(base + random_spans(text, encode, limits), key=key)
 
 
 SPAN = T.ArrayType(T.StructType().add("kind", "string").add("start", "long").add("end", "long"))
@@ -98,7 +128,7 @@ SPAN = T.ArrayType(T.StructType().add("kind", "string").add("start", "long").add
 def scan(docs: DataFrame, limits: Limits = Limits(), vocabulary: str | None = None) -> DataFrame:
     """docs with `base` and `spans`: arrays of (kind, start, end), in code points, end exclusive.
 
-    A null text counts as empty and has no spans.  Columns of docs named base or
+    A null text counts as empty and has no spans; a repeated row has its spans each time.  Columns of docs named base or
     spans are replaced, others pass through; rows are judged one by one, in
     place, without a shuffle; an empty table gives no rows.
     """

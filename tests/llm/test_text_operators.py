@@ -323,6 +323,39 @@ def test_token_efficiency_of_random_strings(letters, size):
     assert sum(secretscan.random_spans(f"value {w} here", encode, secretscan.Limits()) == [("random", 6, 6 + size)] for w in words) >= 198
 
 
+def test_recall_and_false_positives():
+    """Seeded secrets among prose, paths, names, digests and ids of several kinds: at least nine in ten are found, and nothing else."""
+    import base64
+    import string
+    import uuid
+
+    rng = random.Random(17)
+    encode = pretoken.default_encoder().whole.encode_ordinary
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    word = lambda: rng.choice([w for lang in SAMPLES.values() for w in lang] + "configuration request handler background internationalization Donaudampfschifffahrt anticonstitutionnellement Wiederaufbereitungsanlage".split())
+    secrets = {
+        "base62": lambda: pick(string.ascii_letters + string.digits, rng.randrange(16, 48)), "base64": lambda: base64.b64encode(rng.randbytes(rng.randrange(15, 40))).decode(), "lower": lambda: pick(string.ascii_lowercase + string.digits, rng.randrange(18, 40)),
+        "upper": lambda: pick(string.ascii_uppercase + string.digits, rng.randrange(18, 40)), "prefixed": lambda: "sk_live_" + pick(string.ascii_letters + string.digits, 24), "value": lambda: "password=" + pick(string.ascii_letters + string.digits, rng.randrange(12, 16)),
+        "letters": lambda: pick(string.ascii_letters, rng.randrange(20, 40)), "assigned digest": lambda: "token: " + pick("0123456789abcdef", 40),
+    }
+    harmless = {
+        "snake": lambda: "_".join(word() for _ in range(4)), "path": lambda: "/".join(word() for _ in range(5)) + "/v" + pick(string.digits, 2), "camel": lambda: "".join(word().capitalize() for _ in range(4)), "digest": lambda: pick("0123456789abcdef", rng.choice([32, 40, 64])),
+        "uuid": lambda: str(uuid.UUID(int=rng.getrandbits(128))), "number": lambda: pick(string.digits, rng.randrange(16, 30)), "rule": lambda: rng.choice("=-_") * rng.randrange(20, 60), "date": lambda: "2026-01-05/2026-02-11", "word": word,
+    }
+    found, wrong = Counter(), Counter()
+    for _ in range(250):
+        for made, counts in ((secrets, found), (harmless, wrong)):
+            for kind, make in made.items():
+                before, s = sentence(rng, rng.choice(list(SAMPLES)), 6), make()
+                text = f"{before} {s} {before}"
+                own = s.split("=", 1)[1] if kind == "value" else s.removeprefix("token: ")
+                at = text.index(own)
+                spans = secretscan.random_spans(text, encode, secretscan.Limits())
+                counts[kind] += spans == [("random", at, at + len(own))] if made is secrets else bool(spans)
+    assert min(found[k] for k in secrets) >= 0.9 * 250, found
+    assert sum(wrong.values()) <= 0.005 * 250 * len(harmless), wrong
+
+
 @pytest.mark.parametrize("word", ["internationalizationOfUserInterfaces", "org/apache/spark/sql/DataFrameReader", "parse-http-request-header-v2", "MAX_CONNECTION_RETRY_COUNT", "-" * 40, "=" * 20 + "Chapter" + "=" * 20])
 def test_names_are_no_secrets(word):
     encode = pretoken.default_encoder().whole.encode_ordinary
