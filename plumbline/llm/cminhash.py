@@ -9,8 +9,8 @@ Candidates are never expanded into the pairs of a bucket.  Texts with equal
 sets are one class from the start.  Each class is compared with the least
 member of its buckets; classes joined that way are merged.  Where a bucket still
 spans components after that, its members outside the largest of them are
-compared with all its members, by signatures, in blocks; texts move only for the
-pairs that signatures leave.
+compared with all its members, in blocks, by signatures; texts move only for
+those that signatures leave, and only links leave the tasks.
 """
 
 from __future__ import annotations
@@ -134,15 +134,12 @@ def _confirmer(words: int, percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, salts: int = 64, few: int = 100_000) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, salts: int = 64) -> DataFrame:
     """The pairs (a, b) whose full sets are similar.
 
     b's text is sent once to each of up to `salts` groups of its partners, so a
     text with very many partners is spread over tasks; a's text goes with the pair.
     """
-    if pairs.limit(few + 1).count() <= few:  # a checked size: their texts are picked out where they are
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        docs = docs.join(F.broadcast(ends), "doc_id", "left_semi")
     pairs = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int").alias("salt"))
     lead = pairs.select("b", "salt").distinct().select("b", "salt", F.lit(0).alias("tag"), F.lit(None).cast("long").alias("a"), F.col("b").alias("doc_id"))
     both = lead.union(pairs.select("b", "salt", F.lit(1), "a", F.col("a").alias("doc_id"))).join(docs.select("doc_id", "text"), "doc_id").drop("doc_id")
@@ -150,71 +147,123 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, salts
 
 
 def _strangers(percent: int, least: int):
-    """Rows sorted by (bucket, part, side): the pairs of a member of the part and a stranger that could be linked.
+    """Rows sorted by (bucket, part, side): those members and strangers of the part that could be linked with one another.
 
     side 0: strangers, the bucket's members outside its largest component, all of
-    one block of them; side 1: members of the part.  Only pairs of different
-    components whose sizes and signatures allow a link leave the task.
+    one block of them; side 1: members of the part.  A pair counts if it is of
+    different components, if sizes and signatures allow a link, and if this is
+    the least of the buckets that both are in.
     """
 
     def block(rows):
         ids, sizes, comps = (np.array([x[k] for x in rows], np.int64) for k in (0, 2, 3))
         return ids, sizes, comps, np.frombuffer(b"".join(x[1] for x in rows), np.uint8).reshape(len(rows), -1)
 
-    def pairs(strangers, members):
-        if not strangers or not members:
-            return
-        ids, sizes, comps, marks = block(members)
-        for doc, mark, n, comp in strangers:
-            like = np.flatnonzero((comps != comp) & (100 * sizes >= percent * n) & (percent * sizes <= 100 * n))
-            for j in like[(marks[like] == np.frombuffer(mark, np.uint8)).sum(1) >= least].tolist():
-                yield (max(doc, int(ids[j])), min(doc, int(ids[j])))
-
-    def rows(found):
-        found = sorted(set(found))
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["a", "b"])
+    def ends(bucket, strangers, members):
+        out = set()
+        if strangers and members:
+            ids, sizes, comps, marks = block(members)
+            held = [set(x[4]) for x in members]
+            for doc, mark, n, comp, keys in strangers:
+                like = np.flatnonzero((comps != comp) & (100 * sizes >= percent * n) & (percent * sizes <= 100 * n))
+                for j in like[(marks[like] == np.frombuffer(mark, np.uint8)).sum(1) >= least].tolist():
+                    if min(held[j].intersection(keys)) == bucket:
+                        out.update((doc, int(ids[j])))
+        return out
 
     def run(batches):
         now, strangers, members = None, [], []
+        rows = lambda found: pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], names=["key", "part", "doc_id"])
         for batch in batches:
             found = []
-            for bucket, part, side, doc, mark, n, comp in zip(*(c.to_pylist() for c in batch.columns)):
+            for bucket, part, side, *member in zip(*(c.to_pylist() for c in batch.columns)):
                 if (bucket, part) != now:
-                    found += pairs(strangers, members)
+                    found += [(*now, x) for x in ends(now[0], strangers, members)] if now else []
                     now, strangers, members = (bucket, part), [], []
-                (members if side else strangers).append((doc, mark, n, comp))
+                (members if side else strangers).append(member)
             yield rows(found)
-        yield rows(pairs(strangers, members))
+        yield rows([(*now, x) for x in ends(now[0], strangers, members)] if now else [])
+
+    return run
+
+
+def _linker(words: int, percent: int):
+    """Rows sorted by (bucket, part): links (a, b), a > b, by full sets that join the components there; only links leave the task."""
+
+    def links(rows):
+        sets = [x for _, _, data, off in B.chunks(pa.array([r[2] for r in rows], pa.string())) for x in shingle_sets(data, off, words)]
+        sizes = np.array([len(x) for x in sets])
+        comp = np.unique([r[1] for r in rows], return_inverse=True)[1]
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        flat = np.concatenate(sets)
+        by_value = np.argsort(flat, kind="stable")
+        flat, owner = flat[by_value], owner[by_value]
+        for i in np.argsort(-sizes, kind="stable").tolist():
+            apart = comp != comp[i]
+            if not apart.any():
+                continue
+            lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+            n = hi - lo
+            stop = np.cumsum(n)
+            both = np.bincount(owner[np.repeat(lo - stop + n, n) + np.arange(stop[-1] if len(stop) else 0)], minlength=len(sets))
+            for j in np.flatnonzero(apart & (both > 0) & (100 * both >= percent * (sizes + sizes[i] - both))).tolist():
+                if comp[j] != comp[i]:
+                    comp[comp == comp[j]] = comp[i]
+                    yield max(rows[i][0], rows[j][0]), min(rows[i][0], rows[j][0])
+
+    def run(batches):
+        now, held = None, []
+        out = lambda found: pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["a", "b"])
+        for batch in batches:
+            found = []
+            for bucket, part, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bucket, part) != now:
+                    found += links(held) if held else []
+                    now, held = (bucket, part), []
+                held.append(row)
+            yield out(found)
+        yield out(list(links(held)) if held else [])
 
     return run
 
 
-def _far_pairs(crowd: DataFrame, marks: DataFrame, joined: DataFrame, percent: int, least: int, block: int) -> DataFrame:
-    """Pairs (a, b), a > b, of members of one bucket that are in different components and could be linked.
+def _far_links(docs: DataFrame, crowd: DataFrame, marks: DataFrame, joined: DataFrame, words: int, percent: int, least: int, block: int) -> DataFrame:
+    """Links (a, b), a > b, of members of one bucket that are in different components.
 
     Buckets of the same members are one.  A bucket's members are dealt over
     parts of about `block`; its strangers, the members outside its largest
     component, are dealt likewise, and each block of them goes to every part.  So
     the work is the number of strangers times the number of members, and no task
-    holds more than two blocks.  Work starts from ids; signatures are added to
-    those buckets alone that span components.
+    holds more than two blocks.  Signatures go to those buckets alone that span
+    components, texts only for members that signatures leave, once a part.
     """
     placed = crowd.join(joined, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("comp"))
     per = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = per.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most")).where("most < size")
     mixed = saved(mixed.select("key", "main", "size", (F.col("size") / block).cast("int").alias("last"), ((F.col("size") - F.col("most")) / block).cast("int").alias("far")))
     total = mixed.agg(F.sum("size")).first()[0] or 0
-    rows = meeting(placed, mixed.withColumn("of", F.col("size")), ["key"], total, F.xxhash64("doc_id")).join(marks, "doc_id")
+    rows = saved(meeting(placed, mixed, ["key"], total, F.xxhash64("doc_id")))
+    who = rows.groupBy("doc_id").agg(F.collect_set("key").alias("keys")).join(marks, "doc_id")  # as many keys as bands at most
+    rows = rows.join(who, "doc_id")
     deal = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n) + 1).cast("int")
     part = lambda far, near: F.struct(far.alias("far"), near.alias("near"))
-    here, there = deal("last", 1), deal("far", 2)
-    member = rows.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("far")), lambda f: part(f, here))).alias("part"), F.lit(1).alias("side"), "doc_id", "mark", "n", "comp")
-    stranger = rows.where("comp <> main").select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("last")), lambda m: part(there, m))).alias("part"), F.lit(0).alias("side"), "doc_id", "mark", "n", "comp")
+    here, there, each = deal("last", 1), deal("far", 2), ("doc_id", "mark", "n", "comp", "keys")
+    member = rows.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("far")), lambda f: part(f, here))).alias("part"), F.lit(1).alias("side"), *each)
+    stranger = rows.where("comp <> main").select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("last")), lambda m: part(there, m))).alias("part"), F.lit(0).alias("side"), *each)
     cells = member.union(stranger).withColumn("part", F.col("part.far") * F.lit(1 << 32).cast("long") + F.col("part.near"))
-    return cells.repartition("key", "part").sortWithinPartitions("key", "part", "side").mapInArrow(_strangers(percent, least), "a long, b long").distinct()
+    left = saved(cells.repartition("key", "part").sortWithinPartitions("key", "part", "side").mapInArrow(_strangers(percent, least), "key long, part long, doc_id long"))
+    texts = _few(left.select("doc_id").distinct(), docs).select("doc_id", "text")
+    comps = joined.withColumnRenamed("component_id", "comp")
+    held = left.join(comps, "doc_id", "left").join(texts, "doc_id").select("key", "part", "doc_id", F.coalesce("comp", "doc_id").alias("comp"), "text")
+    return held.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_linker(words, percent), "a long, b long").distinct()
+
 
+def _few(ids: DataFrame, docs: DataFrame, told: int = 100_000) -> DataFrame:
+    """docs of these ids; where there are no more than `told`, a checked size, they are picked out where they lie."""
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.limit(told + 1).count() <= told else docs
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 40, rows: int = 5, block: int = 2048) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 40, rows: int = 5, block: int = 512) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (least doc_id that can be reached).
 
     docs: doc_id (an integer) and text; other columns are ignored.  A null text
@@ -253,18 +302,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     several = usable.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
     own = of_class.join(several, "doc_id").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     joined = saved(components(confirmed(best, docs, words, percent).union(own)))  # the one time that all texts move
-    for more in (lambda: _plausible(_across(stars.select("a", "b"), joined), marks, least, percent), lambda: _far_pairs(crowd, marks, joined, percent, least, block)):
-        pairs = saved(more())
-        if not pairs.isEmpty():
-            new = saved(confirmed(pairs, docs, words, percent))
-            if not new.isEmpty():
-                joined = saved(merged(joined, new))
+    pairs = saved(_plausible(_across(stars.select("a", "b"), joined), marks, least, percent))
+    joined = _joined(joined, confirmed(pairs, _few(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs), words, percent))
+    joined = _joined(joined, _far_links(docs, crowd, marks, joined, words, percent, least, block))
     rep_of = of_class.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     roots = rep_of.join(joined.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("component_id", "rep").alias("component_id"))
     alone = joined.join(of_class, "doc_id", "left_anti")
     return signed.select("doc_id", "n_shingles").join(roots.union(alone), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _joined(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """joined after these links."""
+    links = saved(links)
+    return joined if links.isEmpty() else saved(merged(joined, links))
+
+
 def _across(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     """The pairs whose ends lie in different components."""
     return of_components(pairs, joined).where("comp_a <> comp_b").select("a", "b")

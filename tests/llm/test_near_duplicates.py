@@ -90,19 +90,31 @@ def test_signatures_are_two_permutations(table):
 
 
 def test_strangers_meet_all_members():
-    """Members outside the largest component of a bucket are held against all its members; signatures and sizes choose."""
+    """Members outside the largest component of a bucket are held against all its members; signatures, sizes and the least common bucket choose."""
     import pyarrow as pa
 
-    names = ["key", "part", "side", "doc", "mark", "n", "comp"]
-    marks = {1: b"abcd", 2: b"abcd", 3: b"abcx", 4: b"wxyz", 5: b"abcd"}
-    n, comp = {1: 40, 2: 40, 3: 40, 4: 40, 5: 90}, {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
-    cells = [(9, 0, 0, d) for d in (3, 4, 5)] + [(9, 0, 1, d) for d in (1, 2, 3, 4, 5)] + [(9, 1, 1, 1), (9, 2, 0, 3), (9, 2, 1, 2)]
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*[(k, p, s, d, marks[d], n[d], comp[d]) for k, p, s, d in cells])], names=names)
-    found = [[(x["a"], x["b"]) for x in b.to_pylist()] for b in cminhash._strangers(75, 3)(iter([batch.slice(0, 4), batch.slice(4)]))]
-    assert sorted(p for f in found for p in f) == [(3, 1), (3, 2), (3, 2)]
+    names = ["key", "part", "side", "doc", "mark", "n", "comp", "keys"]
+    marks = {1: b"abcd", 2: b"abcd", 3: b"abcx", 4: b"wxyz", 5: b"abcd", 6: b"abcd"}
+    n, comp = {1: 40, 2: 40, 3: 40, 4: 40, 5: 90, 6: 40}, {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 1}
+    keys = {1: [9, 11], 2: [9], 3: [9, 8], 4: [9], 5: [9], 6: [8, 9]}
+    cells = [(9, 0, 0, d) for d in (3, 4, 5)] + [(9, 0, 1, d) for d in (1, 2, 3, 4, 5, 6)] + [(9, 1, 1, 1), (9, 2, 0, 3), (9, 2, 1, 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*[(k, p, s, d, marks[d], n[d], comp[d], keys[d]) for k, p, s, d in cells])], names=names)
+    found = [(x["key"], x["part"], x["doc_id"]) for b in cminhash._strangers(75, 3)(iter([batch.slice(0, 4), batch.slice(4)])) for x in b.to_pylist()]
+    assert sorted(found) == [(9, 0, 1), (9, 0, 2), (9, 0, 3), (9, 2, 2), (9, 2, 3)]  # 3 and 6 meet in bucket 8
 
 
-@pytest.mark.parametrize("block", [2048, 3])
+def test_links_join_components():
+    import pyarrow as pa
+
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(base), " ".join([*base, "x"]), " ".join([*base[:36], "y"]), " ".join(f"z{i}" for i in range(40)), " ".join([*base[:20], *[f"q{i}" for i in range(20)]])]
+    batch = pa.RecordBatch.from_arrays([pa.array([9] * 5), pa.array([0] * 5), pa.array([1, 2, 3, 4, 5]), pa.array([1, 2, 3, 4, 5]), pa.array(texts)], names=["key", "part", "doc_id", "comp", "text"])
+    found = {(x["a"], x["b"]) for b in cminhash._linker(5, 75)(iter([batch])) for x in b.to_pylist()}
+    linked = {(j + 1, i + 1) for j in range(5) for i in range(j) if 100 * len(shingles(texts[i]) & shingles(texts[j])) >= 75 * len(shingles(texts[i]) | shingles(texts[j]))}
+    assert linked == {(2, 1), (3, 1), (3, 2)} and found <= linked and len(found) == 2
+
+
+@pytest.mark.parametrize("block", [512, 3])
 def test_bucket_of_several_components(spark, table, block):
     """Texts whose nearest ones are not the least of any bucket; blocks of three are many."""
     rng = random.Random(9)
