@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import meeting, saved
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -38,20 +40,21 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) ->
     doc_id counts as no document, and its row loses every line whose key is
     dropped.  An empty table gives no rows.
 
-    Keys and positions travel, texts do not: the lines are exploded as hashes,
-    counted with partial aggregation, joined with the few keys over the
-    threshold, and the positions to drop go back to their row, where the text is
-    reassembled by position.
+    Lines are exploded as hashes and counted with partial aggregation.  The few
+    keys over the threshold meet their places in a join that deals a very common
+    key over many tasks, and the positions to drop go back to their row.  For
+    that, and only then, each text is shuffled once, by its row.
     """
     docs = docs.drop("n_lines", "n_dropped").withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     row = [F.col("doc_id").alias("__plumb_doc"), F.xxhash64("text").alias("__plumb_row")]
     places = docs.select(*row, F.posexplode(lines_of()).alias("__plumb_pos", "__plumb_line"))
     places = places.where(F.length(F.btrim("__plumb_line", F.lit(BLANKS))) >= least_chars).select("__plumb_doc", "__plumb_row", "__plumb_pos", line_key(F.col("__plumb_line")).alias("__plumb_key"))
-    counted = places.select("__plumb_key.h", "__plumb_key.g", "__plumb_doc").groupBy("h", "g").agg(F.count_distinct("__plumb_doc").alias("n"), F.max("__plumb_doc").alias("__plumb_last"))
-    common = counted.where(F.col("n") >= least_docs).select("h", "g", "__plumb_last")
+    places = places.select("__plumb_doc", "__plumb_row", "__plumb_pos", "__plumb_key.h", "__plumb_key.g")
+    counted = places.groupBy("h", "g").agg(F.count_distinct("__plumb_doc").alias("n"), F.max("__plumb_doc").alias("__plumb_last"), F.count("*").alias("size"))
+    common = saved(counted.where(F.col("n") >= least_docs).select("h", "g", "__plumb_last", "size"))
+    total = common.agg(F.sum("size")).first()[0] or 0
     lost = (
-        places.select("__plumb_doc", "__plumb_row", "__plumb_pos", "__plumb_key.h", "__plumb_key.g")
-        .join(common, ["h", "g"])
+        meeting(places, common, ["h", "g"], total, F.xxhash64("__plumb_doc", "__plumb_row", "__plumb_pos"))
         .where(~F.col("__plumb_doc").eqNullSafe(F.col("__plumb_last")))
         .groupBy("__plumb_doc", "__plumb_row")
         .agg(F.collect_set("__plumb_pos").alias("__plumb_lost"))
