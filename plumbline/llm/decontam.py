@@ -1,19 +1,16 @@
 """Benchmark decontamination by a hash set of word windows; DataFrame functions only.
 
-A text's words are hashed, the hashes of its windows are looked up in the set of
-the benchmark's window hashes, and hits are verified word by word.  The set and
-the verified windows are embedded in the plan while the benchmark is below a
-checked size; a larger one is joined by shuffles instead.
+The hashes of the benchmark's windows are told to all tasks.  A text's words are
+hashed, the hashes of its windows are held against that set where the text lies,
+and hits are verified word by word.  Only hits are shuffled.
 """
 
 from __future__ import annotations
 
-import json
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import meeting, saved
 from .linededup import folded
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -30,90 +27,58 @@ def bound(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def window_hash(hashes: Column, start: Column, size: int) -> Column:
-    return F.xxhash64(F.slice(hashes, start, size))
-
-
 def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def windows_of(hashes: Column, size: int, keep) -> Column:
-    """Starts (from 1) of the windows of size words that keep(hash) accepts."""
-    n = F.size(hashes) - size + 1
-    return F.when(n > 0, F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: keep(window_hash(hashes, i, size)))).otherwise(F.array().cast("array<int>"))
+def window_hashes(hashes: Column, size: int) -> Column:
+    """The hash of each window of size words, by its start (from 0); null for fewer words."""
+    return F.when(F.size(hashes) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.size(hashes) - size + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(hashes, i, size))))
 
 
 def benchmark_windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """Distinct (hash, size, window, item_id); an item of fewer words than size, but some, is one window."""
+    """Distinct (hash, width, window, item_id); an item of fewer words than size, but some, is one window."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of().alias("words")).where(F.size("words") > 0)
     width = F.least(F.lit(size), F.size("words"))
-    cut = items.select("item_id", width.alias("size"), F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - width + 1), lambda i: F.slice("words", i, width))).alias("words"))
-    return cut.select(F.xxhash64(F.transform("words", lambda w: F.xxhash64(w))).alias("hash"), "size", F.array_join("words", GLUE).alias("window"), "item_id").distinct()
-
-
-def _near_hits(words: Column, hashes: Column, size: int, known: list[int]) -> Column:
-    """(start, size, window, hash) of the windows of a text whose hash is known."""
-    starts = windows_of(hashes, size, lambda h: h.isin(known))
-    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(size).alias("size"), F.array_join(F.slice(words, i, size), GLUE).alias("window"), window_hash(hashes, i, size).alias("hash")))
-
-
-def _all_windows(words: Column, size: int) -> Column:
-    """(start, hash) of every window of a text; null for a shorter text."""
-    return F.when(F.size(words) >= size, bound(word_hashes(words), lambda h: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(h) - size + 1, F.lit(1))), lambda i: F.struct(i.alias("start"), window_hash(h, i, size).alias("hash")))))
-
-
-def _in_plan(docs: DataFrame, rows: list) -> DataFrame:
-    """docs with _words and _hits (start, size, window, items) by expressions alone: no row moves."""
-    by_size: dict[int, dict[int, dict[str, list[str]]]] = {}
-    for r in rows:
-        by_size.setdefault(r["size"], {}).setdefault(r["hash"], {}).setdefault(r["window"], []).append(r["item_id"])
-    docs = docs.withColumn("__plumb_words", words_of())
-    if not by_size:
-        return docs.withColumn("__plumb_hits", F.expr("cast(array() as array<struct<start:int,size:int,window:string,items:array<string>>>)"))
-    buckets = 1 << max(4, len(rows).bit_length())
-    entries: list[list[dict]] = [[] for _ in range(buckets)]
-    for size, hashed in by_size.items():
-        for h, texts in hashed.items():
-            entries[h % buckets] += [{"size": size, "window": w, "items": ids} for w, ids in texts.items()]
-    table = F.from_json(F.lit(json.dumps(entries)), "array<array<struct<size:int,window:string,items:array<string>>>>")  # folded once, on the driver
-
-    def hits(words: Column, hashes: Column) -> Column:
-        found = []
-        for size, of in sorted(by_size.items()):
-            found.append(_near_hits(words, hashes, size, list(of)))
-        return reduce(F.concat, found) if len(found) > 1 else found[0]
-
-    docs = docs.withColumn("__plumb_near", bound(F.struct(F.col("__plumb_words").alias("w")), lambda s: bound(word_hashes(s["w"]), lambda h: hits(s["w"], h))))
-    checked = F.when(F.size("__plumb_near") == 0, F.expr("cast(array() as array<struct<start:int,size:int,window:string,items:array<string>>>)")).otherwise(
-        bound(table, lambda t: F.filter(
-            F.transform("__plumb_near", lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), x["window"].alias("window"), F.flatten(F.transform(
-                F.filter(F.element_at(t, F.pmod(x["hash"], F.lit(buckets)).cast("int") + 1), lambda e: (e["window"] == x["window"]) & (e["size"] == x["size"])), lambda e: e["items"])).alias("items"))),
-            lambda x: F.size(x["items"]) > 0,
-        ))
-    )
-    return docs.withColumn("__plumb_hits", checked).drop("__plumb_near")
-
-
-def _by_shuffle(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
-    """As _in_plan, for a benchmark of any size: window hashes meet in a join, and hits go back to their row."""
-    key = [F.col("doc_id").alias("__plumb_doc"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__plumb_row")]
-    starts = docs.select(*key, words_of().alias("__plumb_words"))
-    places = None
-    for size in sizes:
-        own = starts.select("__plumb_doc", "__plumb_row", F.explode(_all_windows(F.col("__plumb_words"), size)).alias("x")).select("__plumb_doc", "__plumb_row", "x.start", "x.hash", F.lit(size).alias("size"))
-        places = own if places is None else places.union(own)
-    met = places.join(windows.select("hash", "size").distinct(), ["hash", "size"]).groupBy("__plumb_doc", "__plumb_row").agg(F.collect_set(F.struct("start", "size")).alias("__plumb_at"))
-    words = docs.select(*key, words_of().alias("__plumb_words")).dropDuplicates(["__plumb_doc", "__plumb_row"]).join(met.withColumnsRenamed({"__plumb_doc": "__plumb_d", "__plumb_row": "__plumb_r"}), F.col("__plumb_doc").eqNullSafe(F.col("__plumb_d")) & (F.col("__plumb_row") == F.col("__plumb_r")))
-    near = words.select("__plumb_doc", "__plumb_row", F.explode("__plumb_at").alias("x"), "__plumb_words").select("__plumb_doc", "__plumb_row", "x.start", "x.size", F.array_join(F.slice("__plumb_words", F.col("x.start"), F.col("x.size")), GLUE).alias("window"))
-    hits = near.join(windows.groupBy("window", "size").agg(F.collect_set("item_id").alias("items")), ["window", "size"]).groupBy("__plumb_doc", "__plumb_row").agg(F.collect_list(F.struct("start", "size", "window", "items")).alias("__plumb_found"))
-    empty = F.expr("cast(array() as array<struct<start:int,size:int,window:string,items:array<string>>>)")
-    out = docs.withColumn("__plumb_hash", key[1]).join(hits, F.col("doc_id").eqNullSafe(F.col("__plumb_doc")) & (F.col("__plumb_hash") == F.col("__plumb_row")), "left")
-    return out.drop("__plumb_doc", "__plumb_row", "__plumb_hash").withColumn("__plumb_words", words_of()).withColumn("__plumb_hits", F.coalesce("__plumb_found", empty)).drop("__plumb_found")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, most_windows: int = 20_000) -> DataFrame:
+    cut = items.select("item_id", width.alias("width"), F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - width + 1), lambda i: F.slice("words", i, width))).alias("words"))
+    return cut.select(F.xxhash64(word_hashes(F.col("words"))).alias("hash"), "width", F.array_join("words", GLUE).alias("window"), "item_id").distinct()
+
+
+def _near(docs: DataFrame, known: DataFrame, widths: list[int]) -> DataFrame:
+    """(doc, row, start, hash, width, window) of the windows of docs whose hash is known."""
+    words = docs.select(*_key(), words_of().alias("__plumb_words"))
+    hashed = words.select("*", word_hashes(F.col("__plumb_words")).alias("__plumb_h"))
+    by_width = F.array(*[F.struct(F.lit(w).alias("width"), window_hashes(F.col("__plumb_h"), w).alias("hashes")) for w in widths])
+    cut = hashed.select("__plumb_doc", "__plumb_row", "__plumb_words", F.explode(by_width).alias("x"))
+    places = cut.select("__plumb_doc", "__plumb_row", "__plumb_words", "x.width", F.posexplode("x.hashes").alias("start", "hash"))
+    met = places.join(F.broadcast(known), "hash", "left_semi")
+    return met.select("__plumb_doc", "__plumb_row", (F.col("start") + 1).alias("start"), "hash", "width", F.array_join(F.slice("__plumb_words", F.col("start") + 1, F.col("width")), GLUE).alias("window"))
+
+
+def _key() -> list[Column]:
+    return [F.col("doc_id").alias("__plumb_doc"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__plumb_row")]
+
+
+def _hits(docs: DataFrame, windows: DataFrame, most_windows: int) -> DataFrame:
+    """(doc, row, __plumb_hit, __plumb_items) of the rows with verified hits: places of words hit, from 1, and the items' ids."""
+    hashes = windows.select("hash").distinct()
+    blocks = -(-hashes.count() // most_windows)
+    widths = sorted(r["width"] for r in windows.select("width").distinct().collect())
+    near = None
+    for k in range(blocks):
+        own = _near(docs, hashes.where(F.pmod("hash", F.lit(blocks)) == k) if blocks > 1 else hashes, widths)
+        near = own if near is None else near.union(own)
+    near = saved(near)
+    same = ["hash", "width", "window"]
+    met = near.groupBy(same).agg(F.count("*").alias("size"))
+    items = saved(met.join(windows.groupBy(same).agg(F.collect_set("item_id").alias("items")), same))
+    total = items.agg(F.sum("size")).first()[0] or 0
+    hits = meeting(near, items, same, total, F.xxhash64("__plumb_doc", "__plumb_row", "start"))
+    places = F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("width") - 1))))
+    return hits.groupBy("__plumb_doc", "__plumb_row").agg(places.alias("__plumb_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("__plumb_items"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, most_windows: int = 1_000_000, told_bytes: int = 16_000_000) -> DataFrame:
     """docs' rows and columns with n_words, n_hit, item_ids (array), contaminated and clean_text.
 
     A window is `size` consecutive words of a benchmark item, or all of a
@@ -127,28 +92,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
     hits but are not listed.  Columns of docs with one of the new names are
     replaced; rows are neither lost nor merged.
 
-    most_windows is the bound up to which the benchmark's windows are held by
-    every task; they are counted first.
+    A task is told most_windows hashes at a time, 100 bytes each at most.  A larger
+    benchmark goes in blocks of so many, each with a pass over docs; the hits of
+    all are put together.  The rows with hits meet docs by broadcast where their
+    positions and ids, which are counted first, take told_bytes at most, and by
+    shuffle beyond.
     """
     docs = docs.drop("n_words", "n_hit", "item_ids", "contaminated", "clean_text")
-    windows = benchmark_windows(benchmark, size)
-    rows = windows.limit(most_windows + 1).collect()
-    if len(rows) <= most_windows:
-        found = _in_plan(docs, rows)
+    windows = saved(benchmark_windows(benchmark, size))
+    no_places, no_ids = F.array().cast("array<int>"), F.array().cast("array<string>")
+    if windows.isEmpty():
+        found = docs.withColumns({"__plumb_hit": no_places, "__plumb_items": no_ids})
     else:
-        found = _by_shuffle(docs, windows, [r["size"] for r in windows.select("size").distinct().collect()])
-    hit = F.array_distinct(F.flatten(F.transform("__plumb_hits", lambda x: F.sequence(x["start"], x["start"] + x["size"] - 1))))
-    found = found.withColumn("__plumb_hit", F.when(F.size("__plumb_hits") > 0, hit).otherwise(F.array().cast("array<int>")))
-    n_words, n_hit = F.size("__plumb_words").cast("long"), F.size("__plumb_hit").cast("long")
-    pieces = bound(F.split(F.col("text").cast("string"), WORD_ANY_CASE, -1), lambda gaps: bound(
-        F.regexp_extract_all(F.col("text").cast("string"), F.lit(f"({WORD_ANY_CASE})"), F.lit(1)),
+        hits = saved(_hits(docs, windows, most_windows))
+        weight = hits.agg(F.sum(64 + 4 * F.size("__plumb_hit") + F.length(F.array_join("__plumb_items", ",")))).first()[0] or 0
+        rows = docs.withColumn("__plumb_hash", _key()[1])
+        found = rows.join(F.broadcast(hits) if weight <= told_bytes else hits, F.col("doc_id").eqNullSafe(F.col("__plumb_doc")) & (F.col("__plumb_hash") == F.col("__plumb_row")), "left")
+    words = words_of()
+    hit = F.coalesce("__plumb_hit", no_places)
+    n_words, n_hit = F.size(words).cast("long"), F.size(hit).cast("long")
+    found = found.select(*[F.col(f"`{c}`") for c in docs.columns], n_words.alias("n_words"), n_hit.alias("n_hit"), F.coalesce("__plumb_items", no_ids).alias("item_ids"), hit.alias("__plumb_hit"))
+    text = F.col("text").cast("string")
+    pieces = bound(F.split(text, WORD_ANY_CASE, -1), lambda gaps: bound(
+        F.regexp_extract_all(text, F.lit(f"({WORD_ANY_CASE})"), F.lit(1)),
         lambda own: F.concat(F.element_at(gaps, 1), F.array_join(F.filter(F.transform(own, lambda w, i: F.when(~F.array_contains("__plumb_hit", i + 1), F.concat(w, F.element_at(gaps, i + 2)))), lambda x: x.isNotNull()), ""))))
-    names = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform("__plumb_hits", lambda x: x["items"])), lambda x: x.isNotNull())))
     return found.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        n_words.alias("n_words"), n_hit.alias("n_hit"), F.when(F.size("__plumb_hits") > 0, names).otherwise(F.array().cast("array<string>")).alias("item_ids"),
-        ((n_hit > 0) & (share * n_hit >= n_words)).alias("contaminated"),
-        F.when(n_hit > 0, pieces).otherwise(F.col("text").cast("string")).alias("clean_text"),
+        *[F.col(f"`{c}`") for c in docs.columns], "n_words", "n_hit", "item_ids",
+        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        F.when(F.col("n_hit") > 0, pieces).otherwise(text).alias("clean_text"),
     )
 
 

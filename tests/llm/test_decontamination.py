@@ -52,11 +52,11 @@ def data(seed):
     return pairs, items
 
 
-@pytest.mark.parametrize("bound", [100_000, 0])
-def test_as_brute_force(spark, table, odd, bound):
+@pytest.mark.parametrize("bound, told", [(100_000, 10**7), (40, 0)], ids=["one block, broadcast", "blocks, shuffle"])
+def test_as_brute_force(spark, table, odd, bound, told):
     items_schema = "item_id long, text string"
     for pairs, items in (data(1), (odd, [(1, odd[4][1]), (2, "the quick brown fox jumps over the lazy dog other words stand here")])):
-        got = result(table(pairs, clash=True), spark.createDataFrame(items, items_schema), most_windows=bound)
+        got = result(table(pairs, clash=True), spark.createDataFrame(items, items_schema), most_windows=bound, told_bytes=told)
         assert got == brute(pairs, items)
     none = spark.createDataFrame([], items_schema)
     assert result(table(odd), none) == brute(odd, [])
@@ -79,7 +79,7 @@ def test_native(spark, table):
     assert not re.search("Python|Pandas|Arrow", plan) and "CartesianProduct" not in plan
 
 
-@pytest.mark.parametrize("most", [20_000, 1])
+@pytest.mark.parametrize("most", [1000, 1])
 def test_hits_of_equal_hashes_are_verified(spark, table, monkeypatch, most):
     real = decontam.benchmark_windows
     collide = lambda benchmark, size: real(benchmark, size).withColumn("window", F.when(F.col("item_id") == "1", "other words").otherwise(F.col("window")))
