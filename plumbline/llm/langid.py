@@ -55,17 +55,24 @@ class Model:
     bits: int
 
 
+def chosen(rows: DataFrame, n: int, most_rows: int) -> DataFrame:
+    """About most_rows of n rows, each with the same chance; all of them if there are no more."""
+    if n <= most_rows:
+        return rows
+    below = -(1 << 63) + (1 << 64) * most_rows // n  # of the 64-bit hashes
+    return rows.where(F.xxhash64("text", F.monotonically_increasing_id()) < F.lit(below).cast("long"))
+
+
 def fit(docs: DataFrame, size: int = 4, bits: int = 16, most_rows: int = 40_000) -> Model | None:
-    """A model from rows of text and lang; None if there are none with both.
+    """A model from rows of text and lang; None if there are none with both, as for an empty table.
 
     most_rows is the bound of the training sample: with more rows, each is taken
-    with the chance most_rows / rows, by a hash of its text.  Counts are summed
-    where the rows are; only languages x 2 ** bits numbers reach the driver.
+    with the chance most_rows / rows.  Repeated rows count as often as they occur.
+    Counts are summed where the rows are; a language reaches the driver as one
+    row of 2 ** bits numbers.
     """
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    n = rows.count()
-    if n > most_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * most_rows / n))
+    rows = chosen(rows, rows.count(), most_rows)
 
     def count(batches):
         tables: dict[str, np.ndarray] = {}
@@ -81,15 +88,16 @@ def fit(docs: DataFrame, size: int = 4, bits: int = 16, most_rows: int = 40_000)
             at = np.flatnonzero(t)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(t[at])], names=["lang", "gram", "n"])
 
-    totals = rows.mapInArrow(count, "lang string, gram long, n double").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(totals["lang"].unique())
-    if not languages:
+    def smoothed(own: pa.Table) -> pa.Table:
+        table = np.full(1 << bits, 0.5)
+        table[own.column("gram").to_numpy()] += own.column("n").to_numpy()
+        return pa.table({"lang": own.column("lang")[:1], "logs": pa.array([np.log(table / table.sum()).astype("<f4").tobytes()])})
+
+    totals = rows.mapInArrow(count, "lang string, gram long, n double").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = sorted(totals.groupBy("lang").applyInArrow(smoothed, "lang string, logs binary").collect())
+    if not found:
         return None
-    table = np.full((len(languages), 1 << bits), 0.5)
-    for i, lang in enumerate(languages):
-        own = totals[totals["lang"] == lang]
-        table[i, own["gram"].to_numpy()] += own["n"].to_numpy()
-    return Model(languages, np.log(table / table.sum(1, keepdims=True)).astype(np.float32), size, bits)
+    return Model([r["lang"] for r in found], np.stack([np.frombuffer(r["logs"], "<f4") for r in found]), size, bits)
 
 
 def mixture(logs: np.ndarray, counts: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, float]:
@@ -142,8 +150,10 @@ def predict(docs: DataFrame, model: Model | None, penalty: float = 4.0, most: in
 
     lang_pred is the language of the greatest proportion, score that proportion.
     A text that is null or has no letter is `und` with score 0, and so is every
-    text where there is no model.  most bounds the languages of a text, where given.  Columns of docs with one of these names are
-    replaced, others pass through; rows are judged one by one without a shuffle.
+    text where there is no model.  most bounds the languages of a text, where it
+    is given; otherwise all may be among them.  Columns of docs with one of these
+    names are replaced, others pass through.  Rows are judged one by one without
+    a shuffle, repeated ones alike; an empty table gives no rows.
     """
     docs = docs.drop("lang_pred", "score", "langs").withColumn("text", F.col("text").cast("string"))
     at = docs.columns.index("text")
