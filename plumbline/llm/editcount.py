@@ -69,9 +69,27 @@ class CountTree:
                 level[node] = (level[node][0] + dn, level[node][1] + dt)
                 node //= FAN
             return
-        self.blocks[b0 : b1 + 1] = [(own[0][i : i + FAN], own[1][i : i + FAN]) for i in range(0, len(own[0]), FAN)]
-        self.blocks = self.blocks or [([], [])]
-        self._sum_up()
+        new = [(own[0][i : i + FAN], own[1][i : i + FAN]) for i in range(0, len(own[0]), FAN)]
+        self.blocks[b0 : b1 + 1] = new
+        if not self.blocks:
+            self.blocks, new = [([], [])], [([], [])]
+        self.levels[0][b0 : b1 + 1] = [(sum(a), sum(b)) for a, b in new]
+        self._repair(b0, len(new) == b1 + 1 - b0, b0 + len(new))
+
+    def _repair(self, first: int, in_place: bool, end: int) -> None:
+        """Inner sums anew from node `first` of the lowest level on; up to `end` alone where no node has moved."""
+        k = 0
+        while len(self.levels[k]) > 1:
+            low = self.levels[k]
+            first, end = first // FAN, -(-end // FAN)
+            if k + 1 == len(self.levels):
+                self.levels.append([])
+                first, in_place = 0, False
+            up = self.levels[k + 1]
+            stop = end if in_place else -(-len(low) // FAN)
+            up[first : stop if in_place else len(up)] = [(sum(x[0] for x in low[i * FAN : i * FAN + FAN]), sum(x[1] for x in low[i * FAN : i * FAN + FAN])) for i in range(first, stop)]
+            k += 1
+        del self.levels[k + 1 :]
 
 
 def apply_edit(text: str, tree: CountTree, start: int, end: int, new: str, pattern, count) -> tuple[str, int]:
@@ -119,17 +137,28 @@ def apply_edit(text: str, tree: CountTree, start: int, end: int, new: str, patte
     return edited, len(lengths)
 
 
-def count_edits(docs: DataFrame, edits: str = "edits", vocabulary: str | None = None, most_cached: int = 500_000) -> DataFrame:
+TREE = "struct<lengths:array<int>,counts:array<int>>"
+
+
+def count_edits(docs: DataFrame, edits: str = "edits", vocabulary: str | None = None, tree: str | None = None, keep: bool = False, most_cached: int = 500_000) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, n_pretokens, tokens_after, pretokens_after, n_reencoded and edited_chars.
 
     docs: doc_id, text and the column `edits`, an array of (start, end, new):
     each replaces text[start:end], in code points of the text as the edits
     before it left it; bounds outside the text are drawn in.  A null text is
-    empty, null edits and null parts of one change nothing.  Rows are worked on
-    one by one, in place; an empty table gives no rows.
+    empty, null edits and null parts of one change nothing.
+
+    keep: adds text_after and tree_after, the leaves of the edited text's tree.
+    tree: names a column of such trees of the texts as they are; where it is not
+    null the text is not cut and encoded again, so edits can go on from batch to
+    batch.  Other columns of docs are ignored, whatever their names.  Rows are
+    worked on one by one, in place, repeated ones alike; an empty table gives no
+    rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_tokens", "n_pretokens", "tokens_after", "pretokens_after", "n_reencoded", "edited_chars"]
+    more = ["text_after", "tree_after"] * keep
+    leaves = pa.struct([("lengths", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
 
     def run(batches):
         import public_tokenizers
@@ -146,33 +175,46 @@ def count_edits(docs: DataFrame, edits: str = "edits", vocabulary: str | None =
                 n = seen[piece] = len(encoder.whole.encode_ordinary(piece))
             return n
 
+        def cut(data, off):
+            """(text, lengths, counts) of each text."""
+            if len(data) and data.max() < 0xC9:
+                text = data.tobytes().decode()
+                cp, at, starts, owner, entry = encoder.pretokens(data, off)
+                n = encoder.count[entry].tolist()
+                size = np.diff(np.append(starts, len(cp))).tolist()
+                first = np.searchsorted(owner, np.arange(len(off))).tolist()
+                at = at.tolist()
+                return [(text[at[i] : at[i + 1]], size[first[i] : first[i + 1]], n[first[i] : first[i + 1]]) for i in range(len(off) - 1)]
+            out = []
+            for i in range(len(off) - 1):
+                own = data[off[i] : off[i + 1]].tobytes().decode()
+                pieces = pattern.findall(own)
+                out.append((own, list(map(len, pieces)), list(map(count, pieces))))
+            return out
+
         for batch in batches:
-            todo = batch.column(2).to_pylist()
+            todo, known = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for lo, hi, data, off in B.chunks(batch.column(1)):
-                text = data.tobytes().decode()
-                if len(data) and data.max() < 0xC9:
-                    cp, at, starts, owner, entry = encoder.pretokens(data, off)
-                    n = encoder.count[entry].tolist()
-                    size = np.diff(np.append(starts, len(cp))).tolist()
-                    cut = np.searchsorted(owner, np.arange(hi - lo + 1)).tolist()
-                    at = at.tolist()
-                    whole = [(text[at[i] : at[i + 1]], size[cut[i] : cut[i + 1]], n[cut[i] : cut[i + 1]]) for i in range(hi - lo)]
+                if all(k is not None for k in known[lo:hi]):
+                    whole = [(data[off[i] : off[i + 1]].tobytes().decode(), known[lo + i]["lengths"], known[lo + i]["counts"]) for i in range(hi - lo)]
                 else:
-                    whole = []
-                    for i in range(hi - lo):
-                        own = data[off[i] : off[i + 1]].tobytes().decode()
-                        pieces = pattern.findall(own)
-                        whole.append((own, list(map(len, pieces)), list(map(count, pieces))))
-                rows = []
+                    whole = [(t, *((a, b) if k is None else (k["lengths"], k["counts"]))) for (t, a, b), k in zip(cut(data, off), known[lo:hi])]
+                rows, after = [], []
                 for own, lengths, counts in whole:
-                    tree = CountTree(lengths, counts)
-                    before, anew, now = (tree.tokens, len(lengths)), 0, own
+                    own_tree = CountTree(lengths, counts)
+                    before, anew, now = (own_tree.tokens, len(lengths)), 0, own
                     for e in todo[lo + len(rows)] or ():
                         if e is not None and None not in (e["start"], e["end"], e["new"]):
-                            now, k = apply_edit(now, tree, e["start"], e["end"], e["new"], pattern, count)
+                            now, k = apply_edit(now, own_tree, e["start"], e["end"], e["new"], pattern, count)
                             anew += k
-                    rows.append((*before, tree.tokens, sum(len(b[0]) for b in tree.blocks), anew, len(now)))
+                    rows.append((*before, own_tree.tokens, sum(len(b[0]) for b in own_tree.blocks), anew, len(now)))
+                    if keep:
+                        after.append((now, {"lengths": [x for b in own_tree.blocks for x in b[0]], "counts": [x for b in own_tree.blocks for x in b[1]]}))
                 cols = [pa.array(x, pa.int64()) for x in zip(*rows)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *cols], names=names)
+                if keep:
+                    cols += [pa.array([x[0] for x in after], pa.string()), pa.array([x[1] for x in after], leaves)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *cols], names=names + more)
 
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col(edits).cast("array<struct<start:long,end:long,new:string>>")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names[1:]))
+    schema = f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names[1:]) + f", text_after string, tree_after {TREE}" * keep
+    given = (F.col(tree) if tree else F.lit(None)).cast(TREE)
+    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col(edits).cast("array<struct<start:long,end:long,new:string>>").alias("edits"), given.alias("tree")).mapInArrow(run, schema)

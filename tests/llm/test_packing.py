@@ -127,6 +127,23 @@ def test_edited_counts(table, odd, edits):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_trees_go_on(table, odd):
+    """A second batch of edits on kept trees gives what all edits at once give, without cutting the texts again."""
+    from pyspark.sql import functions as F
+
+    def edit(a, b, c):
+        return F.array(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(c).alias("new")))
+
+    df = table(odd[:8], clash=True).withColumn("edits", edit(3, 9, "Some words. "))
+    first = editcount.count_edits(df, keep=True)
+    again = first.select("doc_id", F.col("text_after").alias("text"), F.col("tree_after").alias("tree"), edit(0, 1, "x y").alias("edits"))
+    columns = ["doc_id", "tokens_after", "pretokens_after", "edited_chars"]
+    got = sorted(map(tuple, editcount.count_edits(again, tree="tree").select(columns).collect()), key=repr)
+    assert got == sorted(map(tuple, editcount.count_edits(again.drop("tree")).select(columns).collect()), key=repr)
+    cheat = again.withColumn("tree", F.when(F.col("doc_id") != 2, F.struct(F.array(F.length("text")).alias("lengths"), F.array(F.lit(7)).alias("counts"))))
+    assert all((r["n_tokens"] == 7) == (r["doc_id"] != 2) for r in editcount.count_edits(cheat, tree="tree").collect())
+
+
 def test_edit_tree_random():
     import regex
 
@@ -144,3 +161,6 @@ def test_edit_tree_random():
             found = pattern.findall(t)
             assert [x for block in tree.blocks for x in block[0]] == list(map(len, found))
             assert tree.tokens == len(encode(t)) and tree.length == len(t)
+            levels = [list(x) for x in tree.levels]
+            tree._sum_up()
+            assert levels == tree.levels
