@@ -104,6 +104,39 @@ def test_line_rules(table, extra, kept, left):
     assert r["kept"] is kept and not r["base_failed"] and len(r["text"].split("\n")) == left
 
 
+def brute_line_fails(line):
+    """The rules on one line, from their description."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", line)
+    if not words:
+        return False
+    n, chars = len(words), sum(map(len, words))
+    upper, lower = len(re.findall("[A-Z]", line)), len(re.findall("[a-z]", line))
+    phrase = "|".join(map(re.escape, linerules.BOILERPLATE))
+    return any((
+        len(re.findall(r"[#*$%&|<>]", line)) > 0.1 * chars,
+        n >= 4 and upper > 0.7 * (upper + lower) and upper + lower > 0,
+        not words[-1].endswith((*linerules.ENDS, *linerules.CLOSERS)) and not (n >= 12 and 60 * sum(w[-1] in ".!?" for w in words) >= n),
+        line.count("|") >= 3 and 8 * line.count("|") >= n,
+        n >= 8 and max(map(words.count, words)) > 0.5 * n,
+        n <= 16 and re.search(rf"(?<!\w)(?:{phrase})(?!\w)", line, re.IGNORECASE | re.ASCII if line.isascii() else re.IGNORECASE) is not None,
+    ))
+
+
+def test_verdicts_as_brute_force(table):
+    rng = random.Random(12)
+    pool = ["river", "stone", "The", "NASA", "USA", "x.", "end.", "why?", "no!", "|", "|", "##", "$5", "log", "in", "sign", "up", "Read", "more", "é", "中文。", "done”", "a:", "(b)", "cookie", "policy", "blog"]
+    pairs = []
+    for k in range(300):
+        lines = [" ".join(rng.choices(pool, k=rng.choice([1, 3, 6, 9, 14, 18, 30]))) + rng.choice(["", ".", ".", "."]) for _ in range(rng.randrange(1, 9))]
+        pairs.append((k, rng.choice(["", PROSE + "\n"]) + "\n".join(lines)))
+    got = {r["doc_id"]: r for r in linerules.line_quality(table(pairs)).collect()}
+    for k, text in pairs:
+        lines = text.split("\n")
+        lost = sum(len(re.sub(r"[\x20\x09-\x0D]", "", x)) for x in lines if brute_line_fails(x))
+        n, chars, *_, failed = brute_base(text)
+        assert (got[k]["n_lines_failed"], got[k]["kept"]) == (sum(map(brute_line_fails, lines)), not failed and lost <= 0.5 * chars), text
+
+
 @pytest.mark.parametrize(
     "line, left",
     [

@@ -40,6 +40,40 @@ def test_languages(table, model):
     assert [x["lang"] for x in r["langs"]] == ["en", "de"] and 0.55 < r["score"] < 0.8 and r["lang_pred"] == "en"
 
 
+def test_sets_as_brute_force(model):
+    """The set of languages against all sets: likelihood by many rounds, less the penalty for each language after the first."""
+    from itertools import combinations
+
+    rng = random.Random(4)
+    same = 0
+    for _ in range(60):
+        langs = rng.sample(list(SAMPLES), rng.choice([1, 1, 2, 3]))
+        text = ". ".join(sentence(rng, lang, rng.choice([15, 40, 90])) for lang in langs).encode()
+        _, gram, counts = langid.grams(np.frombuffer(text, np.uint8), np.array([0, len(text)]), model.size, model.bits)
+        logs, own = model.logs[:, gram].astype(float), counts / model.size
+        cost = 4.0 * np.log(own.sum())
+        value = {}
+        for n in range(1, len(SAMPLES) + 1):
+            for of in combinations(range(len(SAMPLES)), n):
+                value[of] = langid.mixture(logs[list(of)], own, 300)[1] - cost * (n - 1)
+        best = max(value, key=value.get)
+        found, share = langid.infer(model, gram, counts, 4.0)
+        same += set(found) == set(best)
+        assert abs(share.sum() - 1) < 1e-9 and value[tuple(sorted(found))] > value[best] - 0.5 * cost
+    assert same >= 57
+
+
+def test_training_sample(spark):
+    """The chance of a row is most_rows / rows, whatever their number."""
+    rows = spark.range(200_000).selectExpr("cast(id % 7 as string) as text", "'en' as lang")
+    for n in (400_000, 10**7):
+        assert abs(langid.chosen(rows, n, 40_000).count() - 200_000 * 40_000 / n) < 6 * (200_000 * 40_000 / n) ** 0.5
+    for n in (10**11, 10**14):
+        bound = -(1 << 63) + (1 << 64) * 40_000 // n
+        assert abs((bound + (1 << 63)) / (1 << 64) * n - 40_000) < 1 and str(bound) in langid.chosen(rows, n, 40_000)._jdf.queryExecution().analyzed().toString()
+    assert langid.chosen(rows, 10, 40_000) is rows
+
+
 def test_languages_of_odd_texts(table, model, odd):
     got = {(r["doc_id"], r["text"]): r for r in langid.predict(table([*odd, (20, "123 !? 45"), (21, "é"), (22, "the")], clash=True), model).collect()}
     for t in ((1, None), (2, ""), (3, "   \n\t "), (20, "123 !? 45")):
@@ -97,6 +131,36 @@ def test_types_formats_and_coreference(table):
     assert re.match(r"Hosts 192\.168\.\d+\.\d+, 10\.0\.\d+\.\d+ and \d+\.\d+\.\d+\.\d+, not 1\.2\.3\.4\.5 or 999\.1\.1\.1; version 2\.0 of 2026-01-05; order 12345\.$", got[4]) and "8.8.8.8" not in got[4]
 
 
+def iban_ok(text):
+    s = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def test_numbers_keep_their_validity(table):
+    pairs = [(1, "DE89 3704 0044 0532 0130 00"), (2, "GB82WEST12345698765432"), (3, "DE88 3704 0044 0532 0130 00"), (4, "Call +358 40 123 4567 or +358401234567890 now")]
+    got = rewritten(table(pairs))
+    assert iban_ok(got[1]) and iban_ok(got[2]) and not iban_ok(got[3]) and got[1][:2] == "DE" and re.fullmatch(r"GB\d\d[A-Z]{4}\d{14}", got[2])
+    assert len({*got.values(), *[t for _, t in pairs]}) == 8
+    long = re.search(r"\+(358\d+) now", got[4])[1]
+    assert len(long) == 15 and long[3:5] != "40" and long[5:] != "1234567890"
+
+
+def test_surnames_alone(table):
+    pairs = [(1, "Mr. John Smith arrived. Smith said that Smithson and Blacksmith left; SMITH stayed."), (2, "Smith is no person here."), (3, "Write to Zoltan Kovacs <zk@mail.org>, Kovacs answers. Zoltan Kovacs signs.")]
+    got = rewritten(table(pairs))
+    last = re.match(r"Mr\. \w+ (\w+) arrived\. ", got[1])[1]
+    assert got[1] == got[1][: got[1].index("arrived")] + f"arrived. {last} said that Smithson and Blacksmith left; SMITH stayed." and got[2] == pairs[1][1]
+    assert "Kovacs" not in got[3] and "zk@" not in got[3]
+
+
+def test_small_ranges_are_left(spark, table):
+    """More private addresses of one net than it has surrogates for by chance: all different still."""
+    pairs = [(k, " ".join(f"192.168.{k}.{j}" for j in range(1, 251))) for k in range(256)]
+    got = rewritten(table(pairs))
+    new = [x for t in got.values() for x in t.split()]
+    assert len(new) == 64000 == len(set(new)) and all(re.fullmatch(r"(192\.168|10\.\d+)\.\d+\.\d+", x) for x in new) and not set(new) & {x for _, t in pairs for x in t.split()}
+
+
 def test_distinct_stays_distinct(table):
     mails = [f"u{k}@a.example" for k in range(10)] + [f"{c}@x.org" for c in "abcdefghijklmnopqrstuvwxyz"]
     names = [f"Mr. {c}{v}x" for c in "BCDFGHKLMN" for v in "aeiou"]
