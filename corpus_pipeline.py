@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's docs.  All but the last return the
 columns of documents; n_chars follows the text.
+
+Null and empty texts, repeated rows, empty tables and further columns are as each
+stage's operator says: rows without words go in the first stage, repeated rows go
+or stay together until the third keeps the document of the least doc_id, rows
+with a null doc_id are near-duplicates of nothing, columns beside text pass
+through, and an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -14,6 +20,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import cminhash, decontam, linededup, linerules, packing
 from plumbline.llm.components import shared_folder
+from plumbline.sources.store import Files
 
 
 def _documents(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -62,13 +69,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each but the last is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+def run(spark: SparkSession, sf_dir: str, run_id: str | None = None) -> DataFrame:
+    """The stages over documents, each written to the shared folder and read again.
+
+    run_id names the run's folder.  A run that is started again under its name
+    goes on behind the last stage that was finished.  A stage's rows are deleted
+    when the next one's are whole; those of the last are the result and stay.
+    """
+    files = Files(spark)
+    folder = f"{shared_folder(spark)}/pipeline-{run_id or uuid.uuid4().hex}"
+    done = next((k for k in reversed(range(len(STAGES))) if files.exists(f"{folder}/{k}/_SUCCESS")), -1)
+    docs = spark.read.parquet(f"{folder}/{done}" if done >= 0 else f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}")
+        if k > done:
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            files.delete(f"{folder}/{k - 1}")
     return docs
