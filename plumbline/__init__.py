@@ -11,6 +11,9 @@ from .errors import ConfigError, PlumbError, PushRefused, SchemaMismatch, Semant
 from .operators.cleaners import clean, drop_empty, numeric, parse_dates, snake_names, strip_strings
 from .plans.scope import Scope, all_, context, last, not_
 from .session import Workspace, session
+from .sources import csvfile, xlsx
+from .sources.config import find_config
+from .sources.frames import from_spark
 
 __all__ = [
     "ConfigError", "PlumbError", "PushRefused", "SchemaMismatch", "Scope", "SemanticsError", "SourceError", "Workspace", "all_", "clean", "connect", "context",
@@ -61,12 +64,35 @@ def push(*a: Any, **k: Any) -> int:
     return workspace().push(*a, **k)
 
 
-def read_csv(*a: Any, **k: Any) -> Any:
-    return workspace().read_csv(*a, **k)
+def _project() -> Workspace | None:
+    """The default workspace; None where there is no project file at all."""
+    if _default is None:
+        try:
+            find_config()
+        except ConfigError:
+            return None
+    return workspace()
 
 
-def read_excel(*a: Any, **k: Any) -> Any:
-    return workspace().read_excel(*a, **k)
+def _read(kind: str, path: Any, land: str | None, backend: str | None, options: dict) -> Any:
+    project = _project()
+    if project is not None:
+        return getattr(project, kind)(path, land=land, backend=backend, **options)
+    if land is not None:
+        raise ConfigError("land= needs a project file, and there is none")
+    spark = session()
+    df = csvfile.read_csv(spark, str(path), **options) if kind == "read_csv" else spark.createDataFrame(xlsx.read_sheet(path, **options))
+    return from_spark(df, backend)
+
+
+def read_csv(path: Any, land: str | None = None, backend: str | None = None, **options: Any) -> Any:
+    """A CSV file; without a project file too, unless land= is given."""
+    return _read("read_csv", path, land, backend, options)
+
+
+def read_excel(path: Any, land: str | None = None, backend: str | None = None, **options: Any) -> Any:
+    """A spreadsheet; without a project file too, unless land= is given."""
+    return _read("read_excel", path, land, backend, options)
 
 
 def model(*a: Any, **k: Any) -> Any:

@@ -15,7 +15,7 @@ def main(argv: list[str] | None = None, workspace: Workspace | None = None) -> i
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("validate", help="check the project file and the models")
     build = commands.add_parser("mirror", help="refresh the mirrored tables")
-    build.add_argument("--only", nargs="+", help="refresh these tables alone")
+    build.add_argument("--only", nargs="+", action="extend", help="refresh these tables alone; may be repeated")
     build.add_argument("--keep-staging", action="store_true", help="leave a failed version's files")
     args = parser.parse_args(argv)
     try:

@@ -21,6 +21,7 @@ def only_complete(frame: DataFrame, model: Model, window: Window | None, grain:
     end = cal.last_day_of(grain, F.col(PERIOD))
     if model.snapshot and model.cadence:
         newest = read(model.fact).groupBy(cal.period_of(grain, F.col(tc), model.fiscal_start).alias("__of")).agg(F.max(tc).alias("__newest"))
+        # one row a period, which a calendar bounds
         frame = frame.join(F.broadcast(newest), F.col(PERIOD) == F.col("__of"), "left")
         frame = frame.where(F.col("__newest") > F.date_sub(end, CADENCE_DAYS[model.cadence])).drop("__of", "__newest")
     else:

@@ -38,7 +38,7 @@ class Window:
         return cls(condition.lo, condition.hi + step)
 
     def earlier(self, months: int, days: int) -> Window:
-        return Window(cal.shift_low(self.lo, months, days), cal.shift_high(self.high, months, days))
+        return Window(cal.earlier_edge(self.lo, months, days, end=False), cal.earlier_edge(self.high, months, days, end=True))
 
 
 @dataclass(frozen=True)
@@ -71,12 +71,11 @@ def bound(value: date | datetime) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz") if isinstance(value, datetime) else F.lit(value)
 
 
-def in_window(frame: DataFrame, column: str, window: Window | None, high_only: bool = False) -> DataFrame:
+def in_window(frame: DataFrame, column: str, window: Window | None) -> DataFrame:
     if window is None:
         return frame
     c = F.col(f"`{column}`")
-    frame = frame.where(c < bound(window.high))
-    return frame if high_only else frame.where(c >= bound(window.lo))
+    return frame.where((c >= bound(window.lo)) & (c < bound(window.high)))
 
 
 def predicate(column: str, condition: Any) -> Column | None:
@@ -102,7 +101,7 @@ def as_at_moments(windowed: DataFrame, model: Model, grain: str | None) -> DataF
 
 
 def as_at_rows(windowed: DataFrame, model: Model, grain: str | None) -> DataFrame:
-    """The rows of the last census of each period.  The moments are as few as there are periods, so they are broadcast."""
+    """The rows of the last census of each period.  The moments are broadcast: a calendar bounds them, one a period."""
     moments = as_at_moments(windowed, model, grain)
     return windowed.join(F.broadcast(moments.select("__as_at")), windowed[model.time_column] == F.col("__as_at"), "left_semi")
 

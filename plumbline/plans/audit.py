@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..operators import lanes
-from ..operators.relation import Window, as_at_moments, in_window
+from ..operators.relation import PERIOD, Window, as_at_moments, in_window
 from .bind import definition, parse
 from .planner import Request, Split, by_column
 from .spec import Measure, Model
@@ -120,16 +120,20 @@ def capture(spark: SparkSession, model: Model, request: Request, split: Split, r
     first = lo.date() if isinstance(lo, datetime) else lo
     scans = {}
     for name, w in windows.items():
-        if w is None or first is None:
+        if w is None:
             scans[name] = {"state": "unbounded"}
             continue
+        if first is None:
+            scans[name] = {"from": _day(w.lo), "before": _day(w.high), "state": "no data"}
+            continue
         begin = w.lo.date() if isinstance(w.lo, datetime) else w.lo
         scans[name] = {"from": _day(w.lo), "before": _day(w.high), "state": "covered" if begin >= first else "partly before the data begin"}
     as_at = {}
     if model.snapshot:
         for name, w in windows.items():
-            rows = as_at_moments(in_window(fact, model.time_column, w), model, request.grain).orderBy("__as_at").limit(1000).collect()
-            as_at[name] = [_day(r["__as_at"]) for r in rows]
+            # one row a period, which a calendar bounds
+            rows = as_at_moments(in_window(fact, model.time_column, w), model, request.grain).where("__as_at is not null").collect()
+            as_at[name] = sorted(([_day(r[PERIOD]) if request.grain else None, _day(r["__as_at"])] for r in rows), key=str)
     cut = bool(split.window and request.grain and cal.period_end(request.grain, _last(split.window), model.fiscal_start) > _last(split.window))
     return {
         "engine": f"Spark {spark.version}", "tables": {t: [f"{c} {k}" for c, k in read(t).dtypes] for t in tables}, "refreshed": {t: _day(stamp(t)) for t in tables},

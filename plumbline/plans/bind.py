@@ -108,6 +108,22 @@ def check_model(spark: SparkSession, model: Model, read: Callable[[str], DataFra
     return _check_keys(model, read, fact) if data else []
 
 
+def orphans(model: Model, read: Callable[[str], DataFrame]) -> DataFrame:
+    """Per shared dimension: dimension, key_column, orphan_rows (with a key that its table lacks) and fact_rows."""
+    fact, out = read(model.fact), None
+    total = fact.agg(F.count(F.lit(1)).alias("fact_rows"))
+    for dim in model.dims.values():
+        if not dim.shared:
+            continue
+        # counted by key before anything moves, so that a common key is one row a task
+        counts = fact.groupBy(F.col(f"`{dim.column}`").alias("__key")).agg(F.count(F.lit(1)).alias("__n")).where("__key is not null")
+        known = read(dim.shared.table).select(F.col(f"`{dim.shared.key}`").alias("__known"))
+        lost = counts.join(known, F.col("__key") == F.col("__known"), "left_anti").agg(F.coalesce(F.sum("__n"), F.lit(0).cast("long")).alias("orphan_rows"))
+        row = lost.crossJoin(total).select(F.lit(dim.name).alias("dimension"), F.lit(dim.column).alias("key_column"), "orphan_rows", "fact_rows")  # one row and one row
+        out = row if out is None else out.union(row)
+    return out if out is not None else total.sparkSession.createDataFrame([], "dimension string, key_column string, orphan_rows long, fact_rows long")
+
+
 def _check_keys(model: Model, read: Callable[[str], DataFrame], fact: DataFrame) -> list[str]:
     warnings, seen = [], set()
     for dim in model.dims.values():
@@ -120,11 +136,8 @@ def _check_keys(model: Model, read: Callable[[str], DataFrame], fact: DataFrame)
             n, distinct, missing = side.agg(F.count(F.lit(1)), F.count_distinct(key), F.sum(key.isNull().cast("int"))).first()
             if n != distinct:
                 raise SemanticsError(f"dimensions.{dim.name}: {dim.shared.table}.{dim.shared.key} is no key - {n - distinct} of {n} rows repeat one or have none ({missing or 0} NULL)")
-        counts = fact.groupBy(F.col(f"`{dim.column}`").alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
-        orphans = counts.where("__key is not null").join(side.select(key.alias("__known")), F.col("__key") == F.col("__known"), "left_anti").agg(F.sum("__n")).first()[0] or 0
-        if orphans:
-            total = fact.count()
-            warnings.append(f"{model.name}.{dim.name}: {orphans} of {total} rows ({100 * orphans / total:.1f} %) have a {dim.column} that {dim.shared.table} lacks; they fall into the NULL group")
+    for r in orphans(model, read).where("orphan_rows > 0").collect():
+        warnings.append(f"{model.name}.{r.dimension}: {r.orphan_rows} of {r.fact_rows} rows ({100 * r.orphan_rows / r.fact_rows:.1f} %) have a {r.key_column} that {model.dims[r.dimension].shared.table} lacks; they fall into the NULL group")
     return warnings
 
 

@@ -18,6 +18,7 @@ TABLE = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*){0,2}")
 RESERVED = ("fact", "period", "time")
 CADENCES = ("daily", "weekly", "monthly")
 _NOT_ADDITIVE = re.compile(r"\bdistinct\b|\bmedian\s*\(|\bmode\s*\(", re.IGNORECASE)
+_MODE = re.compile(r"\bmode\s*\(\s*([^(),]+?)\s*\)", re.IGNORECASE)
 _FILTERED = re.compile(r"\bfilter\s*\(\s*where\b", re.IGNORECASE)
 
 
@@ -48,6 +49,11 @@ def _text(value: Any, where: str) -> str:
     return value.strip()
 
 
+def _aggregate(value: Any, where: str) -> str:
+    """SQL of an aggregate; of several most frequent values mode() takes the least, so that results repeat."""
+    return _MODE.sub(r"mode(\1, true)", _text(value, where))
+
+
 def _flag(value: Any, where: str) -> bool:
     if not isinstance(value, bool):
         _fail(where, f"true or false is needed, not {value!r}")
@@ -95,7 +101,7 @@ def _part(value: Any, where: str) -> str:
     if isinstance(value, Mapping):
         text, cond = sum_text(_mapping(value, where), where)
         return f"{text} FILTER (WHERE {cond})" if cond else text
-    return _text(value, where)
+    return _aggregate(value, where)
 
 
 def _measure(name: str, spec: Any, snapshot: bool, where: str) -> Measure:
@@ -112,7 +118,7 @@ def _measure(name: str, spec: Any, snapshot: bool, where: str) -> Measure:
         if isinstance(spec["expr"], Mapping):
             expr, cond = sum_text(_mapping(spec["expr"], f"{where}.expr"), f"{where}.expr", cond)
         else:
-            expr = _text(spec["expr"], f"{where}.expr")
+            expr = _aggregate(spec["expr"], f"{where}.expr")
             if cond and _FILTERED.search(expr):
                 _fail(where, "expr: has a FILTER of its own - fold where: into it")
     else:

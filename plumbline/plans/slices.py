@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import SemanticsError
 from ..sources.frames import from_spark
 from . import audit, bind
 from .planner import Request, _names, check_request, distinct_values, plan, split_scope
@@ -93,6 +95,17 @@ class BoundModel:
         self.read = read or spark.table
         self.stamp = stamp or (lambda table: None)
         self.warnings = bind.check_model(spark, model, self.read) if check else []
+        if check:
+            self._check_widest()
+
+    def _check_widest(self) -> None:
+        """Analyse the widest slice: every measure by every attribute.  What does not fit together is said when the model is bound."""
+        by = tuple(x for d in self.model.dims.values() for x in ([f"{d.name}.{a}" for a in d.shared.attributes] if d.shared else [d.name]))
+        request = Request(tuple(self.model.measures), by, grain="month")
+        try:
+            plan(self.model, request, split_scope(self.model, Scope(), False), self.read).schema
+        except PySparkException as e:
+            raise SemanticsError(f"{self.model.name}: its widest slice cannot be planned - {str(e).splitlines()[0]}") from e
 
     def newest(self) -> Any:
         return self.read(self.model.fact).agg(F.max(f"`{self.model.time_column}`")).first()[0]
@@ -119,11 +132,44 @@ class BoundModel:
         """An attribute's values, sorted."""
         return [r["value"] for r in self.values_frame(attribute, context).collect()]
 
+    def filter_dim(self, attribute: str, context: Scope | dict | None = None, label: str | None = None) -> Choice:
+        """The choice among an attribute's values, for a context."""
+        return Choice(label or attribute, {str(v): v for v in self.values(attribute, context)})
+
+    def filter_date(self, label: str | None = None) -> DateRange:
+        """The choice among the fact's days, for time= of a context."""
+        first, last = self.date_range()
+        if first is None:
+            raise SemanticsError(f"{self.model.fact} has no {self.model.time_column} to choose from")
+        return DateRange(label or self.model.time_column, first, last)
+
     def date_range(self) -> tuple[Any, Any]:
         """First and last day of the fact, as a date widget needs them."""
         c = F.to_date(f"`{self.model.time_column}`")
         return tuple(self.read(self.model.fact).agg(F.min(c), F.max(c)).first())
 
 
+@dataclass
+class Choice:
+    """The options of an attribute, by what is shown; value: those chosen, none for unfiltered.  A context takes it as it is."""
+
+    label: str
+    options: dict[str, Any]
+    value: list = field(default_factory=list)
+
+
+@dataclass
+class DateRange:
+    """The days of the data; value: the range chosen, all of it at first."""
+
+    label: str
+    start: Any
+    stop: Any
+    value: tuple = ()
+
+    def __post_init__(self):
+        self.value = self.value or (self.start, self.stop)
+
+
 def _as_scope(value: Scope | dict | None) -> Scope:
     return value if isinstance(value, Scope) else context(value)

@@ -39,7 +39,7 @@ class Workspace:
         self.config = config if isinstance(config, Config) else load_config(config or find_config())
         self.spark = spark or session()
         self.store = Store(self.spark, self.config.store)
-        self._extract = extract or (lambda spec: jdbc.read_query(self.spark, self.config.sources[spec.source], spec.sql, spec.batch_size))
+        self._extract = extract or (lambda spec: jdbc.read_query(self.spark, self.config.sources[spec.source], spec.sql, spec.batch_size, spec.split_by, spec.bounds, spec.parts))
         self._connect = connect
         self._models: tuple[tuple, dict] | None = None
         self._bound: dict[tuple, BoundModel] = {}
@@ -96,16 +96,18 @@ class Workspace:
 
     # ---- data out
 
-    def push(self, frame: Any, target: str, if_exists: str = "fail", batch_size: int = 5_000) -> int:
-        """Write a frame to Database.schema.table; refused unless the schema is on the allow-list, before anything connects."""
+    def push(self, frame: Any, target: str, if_exists: str = "fail", batch_size: int = 5_000, source: str | None = None) -> int:
+        """Write a frame to Database.schema.table of a source, over JDBC unless the workspace was given connect=.
+
+        Refused unless the schema is on the allow-list, before anything connects.
+        """
         database, schema, table = push.parse_target(target)
         push.check_allowed(database, schema, self.config.push_allow)
         df = to_spark(self.spark, frame)
         for f in df.schema:
             push.sql_type(f)
-        if self._connect is None:
-            raise PlumbError("no way to connect is set - pass connect= with a function that opens a DB-API connection")
-        connection = self._connect(self.config.default_source)
+        source = self._source(source)
+        connection = self._connect(source.name) if self._connect else jdbc.Connection(self.spark, source)
         try:
             return push.push_rows(connection, database, schema, table, df, if_exists, batch_size)
         finally:

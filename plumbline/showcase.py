@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
-from datetime import datetime
+from dataclasses import replace
+from datetime import date, datetime
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import SemanticsError
 from .operators import cleaners
+from .plans import audit, bind
 from .plans.modelload import models_from
 from .plans.scope import Scope, all_, context, last, not_
 from .plans.slices import BoundModel
+from .sources import csvfile
+from .sources.config import TableSpec
+from .sources.store import Store
+from .streaming.land import spooled
 
 MODELS = """
 dimensions:
@@ -40,6 +49,10 @@ ordering:
     urgent: {expr: count(*), where: o_orderpriority = '1-URGENT', description: Urgent orders.}
     buyers: {expr: count(distinct o_custkey), description: Customers who ordered.}
     urgent_share: {ratio: {num: count(*) FILTER (WHERE o_orderpriority = '1-URGENT'), den: count(*)}, description: Share of urgent orders.}
+    usual: {expr: mode(o_orderpriority), description: The most frequent priority.}
+    least_price: {expr: min(o_totalprice), description: Least price.}
+    greatest_price: {expr: max(o_totalprice), description: Greatest price.}
+    middle: {expr: median(o_totalprice), description: Median price.}
 census:
   fact: orders
   time: {column: o_orderdate, cadence: weekly}
@@ -150,14 +163,14 @@ for _name, (_scope, _where) in _CONTEXTS.items():
 _add("dims_two_shared", _slice("sales", "lines", "orders", by=["supplier.nation", "part.brand"]), "SELECT s_nationkey AS supplier_nation, p_brand AS part_brand, count(*) AS lines, count(DISTINCT l_orderkey) AS orders FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN part ON l_partkey = p_partkey GROUP BY ALL")
 for _grain in GRAIN:
     _add(f"prior_{_grain}", _slice("sales", "lines", by="flag", grain=_grain, compare="prior"), _lanes("lines", "lineitem", SHIP, _grain, STEP[_grain], "lines_prior", "count(*)", key="flag").replace("flag AS k", "l_returnflag AS k"))
-for _grain in ("day", "month", "quarter", "fy_quarter"):
+for _grain in ("day", "month", "quarter", "year", "fy", "fy_quarter"):
     _add(f"yoy_{_grain}", _slice("ordering", "orders", grain=_grain, compare="yoy"), _lanes("orders", "orders", ORDER, _grain, "12 MONTH", "orders_yoy", "count(*)"))
 _add(
     "prior_windowed",
     _slice("sales", "orders", grain="month", compare="prior", context={"time": ("1996-03-01", "1996-06-15")}),
     _lanes("orders", "lineitem", SHIP, "month", "1 MONTH", "orders_prior", "count(DISTINCT l_orderkey)", "l_shipdate >= DATE '1996-03-01' AND l_shipdate < DATE '1996-06-16'", "l_shipdate >= DATE '1996-02-01' AND l_shipdate < DATE '1996-05-16'"),
 )
-for _grain in ("week", "month", "fy_quarter"):
+for _grain in GRAIN:
     _add(
         f"fytd_{_grain}",
         _slice("ordering", "orders", "buyers", by="status", grain=_grain, compare="fytd"),
@@ -193,20 +206,219 @@ _add("activity_by_kind", _slice("activity", "events", "users", "value", by="kind
 
 
 def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ratio with its components, as explain() reads them."""
-    from dataclasses import replace
+    """A ratio with its components, as explain() gives them: one row a cell."""
+    found = bound(spark, sf_dir, "sales").slice("big_share", by="flag", grain="year", compare="prior", context={"status": "F"}).explain()
+    rows = [{**r, **{f"part_{k}_num": v for k, v in n.items()}, **{f"part_{k}_den": v for k, v in d.items()}} for r, n, d in zip(found.rows, found.numerators, found.denominators)]
+    names = ["period", "flag", "big_share", "big_share_prior", *[f"part_{k}_{end}" for k in ("big_share", "big_share_prior") for end in ("num", "den")]]
+    kinds = {"period": "date", "flag": "string"}
+    schema = ", ".join(f"{n} {kinds.get(n, 'long' if n.startswith('part_') else 'double')}" for n in names)
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
+
+
+_ratio_lane = f"SELECT {_g('year', SHIP)} AS period, l_returnflag AS flag, count(*) FILTER (WHERE l_quantity > 25) AS n, count(*) AS d FROM lineitem WHERE l_linestatus = 'F' GROUP BY ALL"
+_add("explain_ratio", _explained, f"WITH b AS ({_ratio_lane}) SELECT b.period, b.flag, CAST(b.n AS DOUBLE) / b.d AS big_share, CAST(c.n AS DOUBLE) / c.d AS big_share_prior, b.n AS part_big_share_num, b.d AS part_big_share_den, c.n AS part_big_share_prior_num, c.d AS part_big_share_prior_den FROM b LEFT JOIN b c ON c.period = CAST(b.period - INTERVAL 12 MONTH AS DATE) AND c.flag = b.flag")
+_add("date_range", lambda s, d: s.createDataFrame([bound(s, d, "ordering").date_range()], "first_day date, last_day date"), "SELECT CAST(min(o_orderdate) AS DATE) AS first_day, CAST(max(o_orderdate) AS DATE) AS last_day FROM orders")
+
+# ---- more of the request
+
+
+def _with_cadence(cadence: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        m = bound(spark, sf_dir, "census")
+        return BoundModel(spark, replace(m.model, cadence=cadence), m.read, check=False).slice("waiting", grain="month", complete_periods=True).df
+
+    return run
+
+
+for _cadence, _days in (("daily", 1), ("monthly", 31)):
+    _add(f"complete_by_cadence_{_cadence}", _with_cadence(_cadence), "SELECT a.* FROM (" + _as_at("month", "count(*) AS waiting") + f") a JOIN (SELECT {_g('month', ORDER)} AS p, max(o_orderdate) AS at FROM orders GROUP BY ALL) n ON n.p = a.period WHERE n.at > a.period + INTERVAL 1 MONTH - INTERVAL 1 DAY - INTERVAL {_days} DAY")
+for _n, _unit, _back in ((10, "day", "INTERVAL 10 DAY"), (4, "week", "INTERVAL 28 DAY"), (2, "year", "INTERVAL 24 MONTH")):
+    _add(f"context_last_{_unit}s", _slice("sales", "lines", by="status", context=Scope({"time": last(_n, _unit)})), f"SELECT l_linestatus AS status, count(*) AS lines FROM lineitem WHERE CAST(l_shipdate AS DATE) >= (SELECT CAST(max(l_shipdate) AS DATE) - {_back} + INTERVAL 1 DAY FROM lineitem) GROUP BY ALL")
+_add("context_nul", _slice("sales", "lines", context={"flag": "R\0' OR 'x"}), "SELECT count(*) AS lines FROM lineitem WHERE l_returnflag = 'R' || chr(0) || chr(39) || ' OR ' || chr(39) || 'x'")
+_add("context_not_shared", _slice("sales", "lines", by="flag", context={"supplier__name": not_("Supplier#000000001")}), "SELECT l_returnflag AS flag, count(*) AS lines FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey WHERE s_name IS DISTINCT FROM 'Supplier#000000001' GROUP BY ALL")
+_add("measure_mode", _slice("ordering", "usual", by="status", grain="month"), f"SELECT period, status, priority AS usual FROM (SELECT period, status, priority, row_number() OVER (PARTITION BY period, status ORDER BY n DESC, priority) AS k FROM (SELECT {_g('month', ORDER)} AS period, o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY ALL)) WHERE k = 1")
+_add("measure_extremes", _slice("ordering", "least_price", "greatest_price", by="priority", grain="quarter", compare="fytd"), f"WITH f AS (SELECT *, {_g('quarter', ORDER)} AS p, {_g('fy', ORDER)} AS fy FROM orders), b AS (SELECT p AS period, o_orderpriority AS priority, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM f GROUP BY ALL) SELECT period, priority, lo AS least_price, hi AS greatest_price, (SELECT min(o_totalprice) FROM f WHERE f.fy = {_g('fy', 'b.period')} AND f.p <= b.period AND f.o_orderpriority = b.priority) AS least_price_fytd, (SELECT max(o_totalprice) FROM f WHERE f.fy = {_g('fy', 'b.period')} AND f.p <= b.period AND f.o_orderpriority = b.priority) AS greatest_price_fytd FROM b")
+_add(
+    "fytd_ratio",
+    _slice("ordering", "urgent_share", "urgent", grain="month", compare="fytd"),
+    f"WITH f AS (SELECT *, {_g('month', ORDER)} AS p, {_g('fy', ORDER)} AS fy FROM orders), y AS (SELECT b.p AS period, {URGENT} AS share, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS n FROM (SELECT DISTINCT p, {_g('fy', 'p')} AS fy FROM f) b JOIN f ON f.fy = b.fy AND f.p <= b.p GROUP BY ALL) SELECT period, urgent_share, share AS urgent_share_fytd, urgent, n AS urgent_fytd FROM (SELECT p AS period, {URGENT} AS urgent_share, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent FROM f GROUP BY ALL) LEFT JOIN y USING (period)",
+)
+_add(
+    "fytd_median",
+    _slice("ordering", "middle", grain="fy_quarter", compare="fytd"),
+    f"WITH f AS (SELECT *, {_g('fy_quarter', ORDER)} AS p, {_g('fy', ORDER)} AS fy FROM orders), b AS (SELECT p AS period, median(o_totalprice) AS middle FROM f GROUP BY p) SELECT period, middle, (SELECT median(o_totalprice) FROM f WHERE f.fy = {_g('fy', 'b.period')} AND f.p <= b.period) AS middle_fytd FROM b",
+)
+
 
-    from .plans.planner import Request, plan, split_scope
+def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periods and the places at which they stand in the result."""
+    found = bound(spark, sf_dir, "sales").slice("lines", grain="month").df.collect()
+    return spark.createDataFrame([(k, r["period"], r["lines"]) for k, r in enumerate(found, 1)], "place long, period date, lines long")
 
+
+_add("ordered_by_period", _ordered, f"SELECT row_number() OVER (ORDER BY period) AS place, period, lines FROM (SELECT {_g('month', SHIP)} AS period, count(*) AS lines FROM lineitem GROUP BY ALL)")
+
+
+def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slice as a view, asked in SQL."""
+    bound(spark, sf_dir, "sales").slice(["lines", "quantity"], by="flag", grain="year").view("showcase_sales_by_year")
+    return spark.sql("SELECT flag, sum(lines) AS lines, max(period) AS last_year FROM showcase_sales_by_year WHERE period >= DATE '1994-01-01' GROUP BY flag")
+
+
+_add("view_of_slice", _view, f"SELECT l_returnflag AS flag, count(*) AS lines, max({_g('year', SHIP)}) AS last_year FROM lineitem WHERE l_shipdate >= DATE '1994-01-01' GROUP BY ALL")
+
+
+def _widgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A choice among the values of an attribute and one among days, put into a context as they are."""
     m = bound(spark, sf_dir, "sales")
-    request = Request(("big_share",), ("flag",), Scope({"status": "F"}), "year", ("prior",))
-    out = plan(m.model, replace(request), split_scope(m.model, request.scope, False), m.read, parts=True)
-    return out.toDF(*[c.replace("__explain_", "part_") for c in out.columns])
+    flags, days = m.filter_dim("flag"), m.filter_date()
+    flags.value, days.value = [flags.options["R"]], (date(1996, 1, 1), days.stop)
+    return plain(m.slice("lines", by="supplier.nation", context=Scope({"flag": flags, "time": days, "status": m.filter_dim("status")})).df)
 
 
-_ratio_lane = f"SELECT {_g('year', SHIP)} AS period, l_returnflag AS flag, count(*) FILTER (WHERE l_quantity > 25) AS n, count(*) AS d FROM lineitem WHERE l_linestatus = 'F' GROUP BY ALL"
-_add("explain_ratio", _explained, f"WITH b AS ({_ratio_lane}) SELECT b.period, b.flag, CAST(b.n AS DOUBLE) / b.d AS big_share, CAST(c.n AS DOUBLE) / c.d AS big_share_prior, b.n AS part_big_share_num, b.d AS part_big_share_den, c.n AS part_big_share_prior_num, c.d AS part_big_share_prior_den FROM b LEFT JOIN b c ON c.period = CAST(b.period - INTERVAL 12 MONTH AS DATE) AND c.flag = b.flag")
-_add("date_range", lambda s, d: s.read.parquet(f"{d}/orders.parquet").agg(F.min(F.to_date("o_orderdate")).alias("first_day"), F.max(F.to_date("o_orderdate")).alias("last_day")), "SELECT CAST(min(o_orderdate) AS DATE) AS first_day, CAST(max(o_orderdate) AS DATE) AS last_day FROM orders")
+_add("filter_widgets", _widgets, "SELECT s_nationkey AS supplier_nation, count(*) AS lines FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R' AND l_shipdate >= DATE '1996-01-01' GROUP BY ALL")
+
+
+def _refused(spark: SparkSession, cases: dict[str, Callable], name: str) -> DataFrame:
+    rows = []
+    for case, attempt in cases.items():
+        try:
+            attempt()
+            rows.append((case, False))
+        except SemanticsError as e:
+            rows.append((case, bool(str(e))))
+    return spark.createDataFrame(rows, f"{name} string, refused boolean")
+
+
+def _guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that must be refused, and what came of them."""
+    m, census, month = bound(spark, sf_dir, "sales"), bound(spark, sf_dir, "census"), {"grain": "month"}
+    cases = {
+        "no measure": lambda: m.slice([]), "unknown measure": lambda: m.slice("nothing"), "unknown grain": lambda: m.slice("lines", grain="decade"), "complete without grain": lambda: m.slice("lines", complete_periods=True),
+        "suppress zero": lambda: m.slice("lines").suppress(0), "suppress true": lambda: m.slice("lines").suppress(True), "compare without grain": lambda: m.slice("lines", compare="prior"), "unknown comparison": lambda: m.slice("lines", compare="next", **month),
+        "comparison twice": lambda: m.slice("lines", compare=["prior", "prior"], **month), "yoy by week": lambda: m.slice("lines", compare="yoy", grain="week"), "fytd of a stock": lambda: census.slice("waiting", compare="fytd", **month),
+        "comparison of none": lambda: census.slice("middle_price", compare="prior", **month), "time in by": lambda: m.slice("lines", by="time"), "unknown dimension": lambda: m.slice("lines", by="planet"), "shared without attribute": lambda: m.slice("lines", by="supplier"),
+        "unknown attribute": lambda: m.slice("lines", by="supplier.planet"), "attribute of a column": lambda: m.slice("lines", by="flag.x"), "same column twice": lambda: m.slice("lines", by=["flag", "flag"]), "strict context": lambda: m.slice("lines", context={"customer__segment": "x"}, strict_context=True),
+        "none in context": lambda: Scope({"flag": None}), "empty list in context": lambda: Scope({"flag": []}), "nan in context": lambda: Scope({"flag": float("nan")}), "range backwards": lambda: Scope({"time": ("1996-02-01", "1996-01-01")}), "last for a column": lambda: Scope({"flag": last(1, "day")}),
+        "last zero": lambda: last(0, "day"), "last unknown": lambda: last(1, "decade"),
+    }
+    return _refused(spark, cases, "request")
+
+
+_add("guards", _guards, "SELECT request, true AS refused FROM (VALUES " + ", ".join(f"('{x}')" for x in ("no measure", "unknown measure", "unknown grain", "complete without grain", "suppress zero", "suppress true", "compare without grain", "unknown comparison", "comparison twice", "yoy by week", "fytd of a stock", "comparison of none", "time in by", "unknown dimension", "shared without attribute", "unknown attribute", "attribute of a column", "same column twice", "strict context", "none in context", "empty list in context", "nan in context", "range backwards", "last for a column", "last zero", "last unknown")) + ") t(request)")
+
+
+def _context_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a slice did with each entry of its context, and the entry in plain data."""
+    base = context({"flag": {"in": ["A", "R"]}, "customer__segment": {"eq": "BUILDING"}, "part__size": {"between": [1, 5]}}, status=all_())
+    s = bound(spark, sf_dir, "sales").slice("lines", context=(base | {"time": ("1996-01-01", "1996-12-31")}).with_(supplier__name=not_("x")).without("part__size"))
+    record = s.provenance()
+    rows = [(k, json.dumps(v), k in s.applied, k in s.ignored, k in record.unfiltered) for k, v in record.context.items()]
+    return spark.createDataFrame(rows, "entry string, said string, applied boolean, ignored boolean, unfiltered boolean")
+
+
+_add("context_record", _context_record, """SELECT * FROM (VALUES ('flag', '{"in": ["A", "R"]}', true, false, false), ('customer__segment', '{"eq": "BUILDING"}', false, true, false), ('status', '{"all": true}', true, false, true), ('supplier__name', '{"not": "x"}', true, false, false), ('time', '{"between": ["1996-01-01", "1996-12-31"]}', true, false, false)) t(entry, said, applied, ignored, unfiltered)""")
+
+# ---- checks, provenance, mirror and readers
+
+_add("bind_orphans", lambda s, d: bind.orphans(MODEL[7]["sales"], bound(s, d, "sales").read), "SELECT 'supplier' AS dimension, 'l_suppkey' AS key_column, (SELECT count(*) FROM lineitem WHERE l_suppkey IS NOT NULL AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier)) AS orphan_rows, (SELECT count(*) FROM lineitem) AS fact_rows UNION ALL SELECT 'part', 'l_partkey', (SELECT count(*) FROM lineitem WHERE l_partkey IS NOT NULL AND l_partkey NOT IN (SELECT p_partkey FROM part)), (SELECT count(*) FROM lineitem)")
+
+
+def _bad_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models that must not bind, and what came of them."""
+    good, read = MODEL[7]["sales"], bound(spark, sf_dir, "sales").read
+    one = lambda expr: replace(good, measures={"m": replace(good.measures["lines"], name="m", expr=expr)})
+    shared = good.dims["supplier"].shared
+    with_dim = lambda **change: replace(good, dims={"supplier": replace(good.dims["supplier"], shared=replace(shared, **change))})
+    cases = {
+        "fact unreadable": replace(good, fact="no_such_table"), "time column missing": replace(good, time_column="l_nothing"), "time column no date": replace(good, time_column="l_returnflag"), "no SQL": one("sum("), "no aggregate": one("l_quantity"),
+        "unknown column": one("sum(l_nothing)"), "column of another table": one("sum(orders.o_totalprice)"), "another table in a subquery": one("count(*) FILTER (WHERE l_orderkey IN (SELECT o_orderkey FROM orders))"),
+        "attribute missing": with_dim(attributes={"x": "s_nothing"}), "key not unique": with_dim(key="s_nationkey"), "good": good,
+    }
+    return _refused(spark, {k: lambda m=m: BoundModel(spark, m, read) for k, m in cases.items()}, "model")
+
+
+_add("bind_refusals", _bad_models, "SELECT model, model <> 'good' AS refused FROM (VALUES ('fact unreadable'), ('time column missing'), ('time column no date'), ('no SQL'), ('no aggregate'), ('unknown column'), ('column of another table'), ('another table in a subquery'), ('attribute missing'), ('key not unique'), ('good')) t(model)")
+
+
+def _captured(spark: SparkSession, sf_dir: str) -> dict:
+    return bound(spark, sf_dir, "census").slice("waiting", grain="month", compare="prior", context={"time": ("1992-03-01", "1996-06-15")}).provenance().data
+
+
+def _as_at_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(lane, date.fromisoformat(p), datetime.fromisoformat(at)) for lane, found in _captured(spark, sf_dir)["as_at"].items() for p, at in found]
+    return spark.createDataFrame(rows, "lane string, period date, as_at timestamp_ntz")
+
+
+_moments = lambda lane, lo, high: f"SELECT '{lane}' AS lane, {_g('month', ORDER)} AS period, max(o_orderdate) AS as_at FROM orders WHERE o_orderdate >= DATE '{lo}' AND o_orderdate < DATE '{high}' GROUP BY ALL"
+_add("provenance_as_at", _as_at_moments, _moments("base", "1992-03-01", "1996-06-16") + " UNION ALL " + _moments("prior", "1992-02-01", "1996-05-16"))
+
+
+def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _captured(spark, sf_dir)
+    rows = [(lane, s["state"], s["from"], s["before"], found["data_from"][:10], found["data_to"][:10], found["last_period_cut"]) for lane, s in found["scans"].items()]
+    return spark.createDataFrame(rows, "lane string, state string, starts string, ends_before string, data_from string, data_to string, last_period_cut boolean")
+
+
+_add("provenance_coverage", _coverage, "WITH e AS (SELECT strftime(min(o_orderdate), '%Y-%m-%d') AS data_from, strftime(max(o_orderdate), '%Y-%m-%d') AS data_to FROM orders) SELECT lane, CASE WHEN starts < data_from THEN 'partly before the data begin' ELSE 'covered' END AS state, starts, ends_before, data_from, data_to, true AS last_period_cut FROM e, (VALUES ('base', '1992-03-01', '1996-06-16'), ('prior', '1992-02-01', '1996-05-16')) t(lane, starts, ends_before)")
+
+
+def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of measures, and whether their hashes tell them apart: spacing and descriptions do not count, meaning does."""
+    model = MODEL[7]["sales"]
+    first = replace(model.measures["big_lines"], expr="sum(l_quantity)", where="l_quantity > 25")
+    others = {
+        "spacing and case": replace(first, expr="SUM( L_QUANTITY )"), "description": replace(first, description="Another."), "literal": replace(first, where="l_quantity > 26"), "function": replace(first, expr="max(l_quantity)"),
+        "predicate dropped": replace(first, where=None), "distinct": replace(first, expr="sum(distinct l_quantity)"), "time_agg": replace(first, time_agg="last"),
+    }
+    rows = [(k, audit.measure_hash(spark, model, first) != audit.measure_hash(spark, model, m)) for k, m in others.items()]
+    rows += [("fiscal start", audit.model_hash(model) != audit.model_hash(MODEL[1]["sales"])), ("dimension dropped", audit.model_hash(model) != audit.model_hash(replace(model, dims={})))]
+    return spark.createDataFrame(rows, "change string, another boolean")
+
+
+_add("provenance_hashes", _hashes, "SELECT * FROM (VALUES ('spacing and case', false), ('description', false), ('literal', true), ('function', true), ('predicate dropped', true), ('distinct', true), ('time_agg', true), ('fiscal start', true), ('dimension dropped', true)) t(change, another)")
+
+
+def _folder(spark: SparkSession) -> str:
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{top.rstrip('/')}/_showcase/{uuid.uuid4().hex}"
+
+
+def _mirrored(spark: SparkSession, sf_dir: str, then: Callable[[Store], DataFrame]) -> DataFrame:
+    """What `then` finds in a mirror of two small tables, the second of which has been refreshed once; the mirror goes again."""
+    store = Store(spark, _folder(spark))
+    specs = [TableSpec("nation", "SELECT * FROM nation", "core", mode="parquet"), TableSpec("region", "SELECT * FROM region")]
+    read = lambda spec: spark.read.parquet(f"{sf_dir}/{spec.name}.parquet")
+    try:
+        store.build(specs, lambda spec: read(spec).limit(0) if spec.name == "region" else read(spec))
+        store.build(specs, read, only=["region"])
+        out = then(store)
+        return spark.createDataFrame(out.collect(), out.schema)  # a few rows of small tables
+    finally:
+        store.files.delete(store.root)
+
+
+_add("mirror_freshness", lambda s, d: _mirrored(s, d, lambda store: store.freshness().select("schema_name", "table_name", "source_sql", "mode", "row_count")), "SELECT 'core' AS schema_name, 'nation' AS table_name, 'SELECT * FROM nation' AS source_sql, 'parquet' AS mode, (SELECT count(*) FROM nation) AS row_count UNION ALL SELECT 'main', 'region', 'SELECT * FROM region', 'native', (SELECT count(*) FROM region)")
+_add("mirror_table", lambda s, d: _mirrored(s, d, lambda store: store.table("core.nation").join(store.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")), "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+
+
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as text with semicolons, read back with delimiter, header and types guessed."""
+    folder = _folder(spark)
+    spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_nationkey", "c_acctbal").write.option("header", True).option("sep", ";").csv(folder)
+    return csvfile.read_csv(spark, folder)
+
+
+_add("read_csv_guessed", _csv, "SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, CAST(c_nationkey AS INTEGER) AS c_nationkey, c_acctbal FROM customer")
+
+
+def _spooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of record batches as a table."""
+    table = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").toArrow()
+    return spooled(spark, table.to_reader(max_chunksize=7), rows_at_once=10)
+
+
+_add("land_stream", _spooled, "SELECT n_nationkey, n_name FROM nation")
 
 
 def _messy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,4 +436,4 @@ _add(
     lambda s, d: cleaners.clean(_messy(s, d), cleaners.snake_names, cleaners.strip_strings, cleaners.drop_empty, cleaners.parse_dates("placed_on", format="%d/%m/%Y"), cleaners.parse_dates("serial"), cleaners.numeric("total")),
     "SELECT o_orderkey AS order_key, o_orderpriority AS priority, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS total, date_trunc('day', o_orderdate) AS placed_on, date_trunc('day', o_orderdate) AS serial FROM orders",
 )
-_add("clean_strip_documents", lambda s, d: cleaners.strip_strings(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "source")), "SELECT doc_id, nullif(trim(lang), '') AS lang, nullif(trim(source), '') AS source FROM documents")
+_add("clean_strip_documents", lambda s, d: cleaners.strip_strings(s.read.parquet(f"{d}/documents.parquet")), r"SELECT doc_id, n_chars, " + ", ".join(rf"nullif(regexp_replace({c}, '^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$', '', 'g'), '') AS {c}" for c in ("text", "lang", "source")) + " FROM documents")

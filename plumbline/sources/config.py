@@ -74,6 +74,9 @@ class TableSpec:
     compression: str = "zstd"
     level: int = 9
     batch_size: int = 100_000
+    split_by: str | None = None
+    bounds: tuple | None = None
+    parts: int = 1
 
     @property
     def qualified(self) -> str:
@@ -138,12 +141,17 @@ def _table(raw: Any, number: int, defaults: dict, default_source: str, sources:
     connection = src.get("connection", default_source)
     if connection not in sources:
         raise ConfigError(f"{where}: no source '{connection}' is declared")
+    extract = _mapping(raw.get("extract"), where)
+    split_by, bounds = extract.get("split_by"), extract.get("bounds")
+    if (split_by is None) != (bounds is None) or bounds is not None and (not isinstance(bounds, list) or len(bounds) != 2):
+        raise ConfigError(f"{where}.extract: split_by names a column, bounds its least and greatest value - give both or neither")
     return TableSpec(
         name, sql, str(raw.get("schema", defaults.get("schema", "main"))), connection, str(raw.get("description") or ""),
         _choice(raw.get("mode", defaults.get("mode", "native")), MODES, f"{where}.mode"),
         _choice(raw.get("compression", defaults.get("compression", "zstd")), CODECS, f"{where}.compression"),
         _count(raw.get("compression_level", defaults.get("compression_level", 9)), f"{where}.compression_level"),
-        _count(_mapping(raw.get("extract"), where).get("batch_size", defaults.get("batch_size", 100_000)), f"{where}.batch_size"),
+        _count(extract.get("batch_size", defaults.get("batch_size", 100_000)), f"{where}.batch_size"),
+        split_by, tuple(map(str, bounds)) if bounds else None, _count(extract.get("parts", 8 if split_by else 1), f"{where}.parts"),
     )
 
 

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import SourceError
+from ..streaming.land import spooled
 
 BACKENDS = ("spark", "pandas", "pyarrow", "polars")
 
@@ -43,14 +44,16 @@ def to_spark(spark: SparkSession, frame: Any) -> DataFrame:
         return frame
     if isinstance(frame, pd.DataFrame):
         frame = pa.Table.from_pandas(frame, preserve_index=False)
+    elif isinstance(frame, pa.Table):
+        pass
     elif isinstance(frame, pa.RecordBatchReader):
-        frame = frame.read_all()
+        return spooled(spark, frame)
     elif isinstance(frame, pa.RecordBatch):
         frame = pa.Table.from_batches([frame])
     elif hasattr(frame, "collect") and hasattr(frame, "lazy"):
         raise SourceError("a lazy frame has no rows yet - call .collect() first")
     elif hasattr(frame, "__arrow_c_stream__"):
-        frame = pa.RecordBatchReader.from_stream(frame).read_all()
+        return spooled(spark, pa.RecordBatchReader.from_stream(frame))
     elif hasattr(frame, "to_pyarrow"):
         frame = frame.to_pyarrow()
     elif hasattr(frame, "to_arrow"):

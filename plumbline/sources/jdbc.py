@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+from datetime import date, datetime
+from decimal import Decimal
+from typing import Any
+
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +28,76 @@ def read_query(spark: SparkSession, source: Source, sql: str, batch_size: int =
         return reader.load()
     except (PySparkException, Exception) as e:  # drivers raise their own kinds through the gateway
         raise SourceError(f"source '{source.name}' could not be read: {str(e).splitlines()[0]}") from e
+
+
+class Connection:
+    """A DB-API connection, as far as push needs one, on a JDBC driver of the driver's JVM; nothing is committed by itself."""
+
+    def __init__(self, spark: SparkSession, source: Source):
+        url, properties = source.connection()
+        self.jvm = spark.sparkContext._jvm
+        own = self.jvm.java.util.Properties()
+        for k, v in properties.items():
+            if k == "driver":
+                self.jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(v)
+            else:
+                own.setProperty(k, v)
+        try:
+            self.raw = self.jvm.java.sql.DriverManager.getConnection(url, own)
+        except Exception as e:
+            raise SourceError(f"source '{source.name}' could not be reached: {str(e).splitlines()[0]}") from e
+        self.raw.setAutoCommit(False)
+
+    def cursor(self) -> Cursor:
+        return Cursor(self)
+
+    def commit(self) -> None:
+        self.raw.commit()
+
+    def rollback(self) -> None:
+        self.raw.rollback()
+
+    def close(self) -> None:
+        self.raw.close()
+
+
+class Cursor:
+    def __init__(self, connection: Connection):
+        self.jvm, self.raw, self.rows = connection.jvm, connection.raw, None
+
+    def _java(self, value: Any) -> Any:
+        sql = self.jvm.java.sql
+        if isinstance(value, datetime):
+            if value.tzinfo:
+                return self.jvm.java.time.OffsetDateTime.parse(value.isoformat())
+            return sql.Timestamp.valueOf(value.isoformat(sep=" "))
+        if isinstance(value, date):
+            return sql.Date.valueOf(value.isoformat())
+        if isinstance(value, Decimal):
+            return self.jvm.java.math.BigDecimal(str(value))
+        return bytes(value) if isinstance(value, (bytes, bytearray)) else value
+
+    def _prepared(self, sql: str):
+        return self.raw.prepareStatement(sql)
+
+    def _fill(self, statement: Any, args: Sequence) -> None:
+        for i, value in enumerate(args, 1):
+            statement.setObject(i, self._java(value))
+
+    def execute(self, sql: str, args: Sequence = ()) -> None:
+        statement = self._prepared(sql)
+        self._fill(statement, args)
+        self.rows = statement.getResultSet() if statement.execute() else None
+
+    def fetchone(self) -> tuple | None:
+        if self.rows is None or not self.rows.next():
+            return None
+        return tuple(self.rows.getObject(i) for i in range(1, self.rows.getMetaData().getColumnCount() + 1))
+
+    def executemany(self, sql: str, rows: Iterable[Sequence]) -> None:
+        statement = self._prepared(sql)
+        for row in rows:
+            self._fill(statement, row)
+            statement.addBatch()
+        statement.executeBatch()
+        statement.close()

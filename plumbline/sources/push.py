@@ -56,7 +56,7 @@ def push_rows(connection: Any, database: str, schema: str, table: str, df: DataF
     columns = ", ".join(f"{quoted(f.name)} {sql_type(f)}" for f in df.schema)
     cursor = connection.cursor()
     try:
-        cursor.execute(f"SELECT count(*) FROM {quoted(database)}.INFORMATION_SCHEMA.TABLES WHERE TABLE_SCHEMA = ? AND TABLE_NAME = ?", [schema, table])
+        cursor.execute(f"SELECT count(*) FROM {quoted(database)}.INFORMATION_SCHEMA.TABLES WHERE TABLE_SCHEMA = ? AND TABLE_NAME = ? AND TABLE_TYPE = 'BASE TABLE'", [schema, table])
         if cursor.fetchone()[0]:
             if if_exists == "fail":
                 raise PlumbError(f"{database}.{schema}.{table} exists - pass if_exists='replace' to overwrite it")

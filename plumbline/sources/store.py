@@ -13,6 +13,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable, Iterable
+from contextlib import contextmanager
 from datetime import datetime, timezone
 from typing import Any
 
@@ -52,6 +53,26 @@ class Files:
         finally:
             stream.close()
 
+    @contextmanager
+    def held(self, path: str, patience_s: float = 60.0):
+        """A lock: the file that only one can create.  Whoever held it for longer than patience_s has died, and it is taken over."""
+        system, began = self._system(path), time.time()
+        while True:
+            try:
+                system.create(self._path(path), False).close()
+                break
+            except Exception as e:
+                if not self.exists(path):
+                    raise
+                if time.time() - began > patience_s:
+                    self.delete(path)
+                time.sleep(0.2)
+                del e
+        try:
+            yield
+        finally:
+            self.delete(path)
+
     def replace(self, path: str, text: str) -> None:
         """Write text so that readers see the old file or the new one."""
         side = f"{path}.{uuid.uuid4().hex}"
@@ -118,7 +139,10 @@ class Store:
             for s in specs:
                 if s.qualified in chosen:
                     tables[s.qualified] = self._write(s, extract, f"{folder}/{s.schema}/{s.name}")
-            self.files.replace(self._pointer, json.dumps({"version": version, "tables": tables}, indent=1, sort_keys=True))
+            with self.files.held(f"{self._pointer}.lock"):
+                newest = self.manifest()  # another build may have been published meanwhile; what this one carries over is the newest
+                tables.update({s.qualified: newest["tables"][s.qualified] for s in specs if s.qualified not in chosen})
+                self.files.replace(self._pointer, json.dumps({"version": version, "tables": tables}, indent=1, sort_keys=True))
         except Exception as e:
             if not keep_staging:
                 self.files.delete(folder)

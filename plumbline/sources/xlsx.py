@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import zipfile
+from collections import Counter
 from datetime import date, datetime, timedelta
+from itertools import accumulate, chain, count, zip_longest
 from pathlib import Path
 from typing import Any
 from xml.etree import ElementTree
@@ -111,46 +113,39 @@ def _blank(v: Any) -> bool:
     return v is None or isinstance(v, str) and not v.strip()
 
 
+def _likeness(row: list[Any]) -> float:
+    """How much a row looks like names, from 0 to 1: the shares of cells that are filled, of these that are text, and that are unlike each other, multiplied."""
+    said = [v for v in row if not _blank(v)]
+    if len(said) < 2:
+        return 0.0
+    kinds = Counter(isinstance(v, str) for v in said)
+    unlike = {str(v).strip().casefold() for v in said}
+    return kinds[True] * len(unlike) / (len(row) * len(said))
+
+
 def guess_header(rows: list[list[Any]]) -> int:
-    """The row, of the first 20, that looks most like names: well filled, text, without repeats; a data row must follow."""
-    best, where = 0.0, None
-    for i, row in enumerate(rows[: min(SCAN, len(rows) - 1)]):
-        filled = [v for v in row if not _blank(v)]
-        if len(filled) < 2:
-            continue
-        texts = sum(isinstance(v, str) for v in filled)
-        names = len({str(v).strip().lower() for v in filled})
-        score = len(filled) / len(row) * texts / len(filled) * names / len(filled)
-        if score > best:
-            best, where = score, i
-    if where is None:
+    """The row among the first SCAN that looks most like names, the upper one of equals; the last row is data."""
+    likeness = [_likeness(row) for row in rows[:-1][:SCAN]]
+    if not any(likeness):
         raise SourceError("no header row was found - pass header= with its number (from 0), or header=None")
-    return where
+    return likeness.index(max(likeness))
+
+
+def _spread(row: list[Any]) -> list[Any]:
+    """A row of group titles; each stands for its own cell and the blank ones behind it, as merged cells do."""
+    return list(accumulate(row, lambda title, v: title if _blank(v) else v))
 
 
 def column_names(header: list[list[Any]], width: int) -> list[str]:
-    """Names from header rows; blanks in upper rows stand for merged cells and take the value to their left."""
-    upper = []
-    for row in header[:-1]:
-        held, filled = None, []
-        for v in row:
-            held = held if _blank(v) else v
-            filled.append(held)
-        upper.append(filled)
-    out: list[str] = []
-    for i in range(width):
-        parts = [str(r[i]).strip() for r in [*upper, *header[-1:]] if i < len(r) and not _blank(r[i])]
-        name, k = " ".join(parts) or f"col_{i}", 1
-        new = name
-        while new in out:
-            k += 1
-            new = f"{name}_{k}"
-        out.append(new)
-    return out
-
-
-def _as_text(v: Any) -> str:
-    return str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
+    """One name a column: the titles above it and its own, joined; nameless ones are numbered, repeated ones get _2, _3 ..."""
+    titles = [*map(_spread, header[:-1]), *header[-1:]]
+    names: dict[str, None] = {}
+    for i, column in enumerate(zip_longest(*titles, [None] * width)):
+        if i == width:
+            break
+        name = " ".join(str(v).strip() for v in column if not _blank(v)) or f"col_{i}"
+        names[next(n for n in chain([name], (f"{name}_{k}" for k in count(2))) if n not in names)] = None
+    return list(names)
 
 
 def _column_array(values: list[Any]) -> pa.Array:
@@ -160,17 +155,18 @@ def _column_array(values: list[Any]) -> pa.Array:
     types = {float: pa.float64(), bool: pa.bool_(), datetime: pa.timestamp("us"), date: pa.date32()}
     if len(kinds) == 1 and (kind := next(iter(kinds))) in types:
         return pa.array(values, types[kind])
-    return pa.array([None if v is None else _as_text(v) for v in values], pa.string())
+    # columns of several kinds are text, whole numbers in it without a point
+    return pa.array([v if v is None else f"{v:.0f}" if isinstance(v, float) and v.is_integer() else str(v) for v in values], pa.string())
 
 
 def read_sheet(path: str | Path, sheet: str | int | None = None, header: Any = _GUESS, skip_rows: int = 0) -> pa.Table:
-    """A sheet as an Arrow table.  header: a row number (from 0), a list of them, None for no header, or left out to be guessed."""
+    """A sheet as an Arrow table.  header: a row number (from 0), the first and last row of a range of them, None for no header, or left out (or "auto") to be guessed."""
     rows = read_cells(path, sheet)[skip_rows:]
     if not rows:
         return pa.table({})
-    if header is _GUESS:
+    if header is _GUESS or header == "auto":
         header = guess_header(rows)
-    lines = [] if header is None else [header] if isinstance(header, int) else list(header)
+    lines = [] if header is None else [header] if isinstance(header, int) else [*range(min(header), max(header) + 1)]
     if any(not 0 <= h < len(rows) for h in lines):
         raise SourceError(f"the sheet has no row {max(lines)} to be a header - it has {len(rows)}")
     body = rows[max(lines) + 1 :] if lines else rows

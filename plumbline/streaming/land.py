@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import PlumbError, SourceError
 
@@ -25,9 +26,14 @@ def land_batches(spark: SparkSession, batches: Iterable[pa.RecordBatch] | pa.Rec
     """Replace a table by the batches and return how many rows it has.
 
     The rows go to a table beside it first, so the old one stays until all have
-    arrived; the driver holds rows_at_once rows and one batch at most.
+    arrived; then it steps aside and goes when the new one has its name.  A run
+    that was cut off between these two finds it there and puts it back.  The
+    driver holds rows_at_once rows and one batch at most.
     """
     check_landing(table)
+    old = f"{table}__before"
+    if spark.catalog.tableExists(old) and not spark.catalog.tableExists(table):
+        spark.sql(f"ALTER TABLE {old} RENAME TO {table}")
     side, held, rows, total, schema = f"{table}__landing", [], 0, 0, getattr(batches, "schema", None)
     spark.sql(f"DROP TABLE IF EXISTS {side}")
 
@@ -46,9 +52,32 @@ def land_batches(spark: SparkSession, batches: Iterable[pa.RecordBatch] | pa.Rec
             if schema is None:
                 raise SourceError("the stream has neither rows nor a schema - nothing was landed")
             flush("append")
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        if spark.catalog.tableExists(table):
+            spark.sql(f"DROP TABLE IF EXISTS {old}")
+            spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
         spark.sql(f"ALTER TABLE {side} RENAME TO {table}")
+        spark.sql(f"DROP TABLE IF EXISTS {old}")
         return total
     except Exception:
+        if spark.catalog.tableExists(old) and not spark.catalog.tableExists(table):
+            spark.sql(f"ALTER TABLE {old} RENAME TO {table}")
         spark.sql(f"DROP TABLE IF EXISTS {side}")
         raise
+
+
+def spooled(spark: SparkSession, batches: pa.RecordBatchReader, rows_at_once: int = 100_000) -> DataFrame:
+    """A stream of record batches as a DataFrame over files, written rows_at_once rows at a time; the driver holds no more."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    folder, held, rows = f"{top.rstrip('/')}/_streams/{uuid.uuid4().hex}", [], 0
+
+    def flush() -> None:
+        spark.createDataFrame(pa.Table.from_batches(held, batches.schema)).write.mode("append").parquet(folder)
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= rows_at_once:
+            flush()
+            held, rows = [], 0
+    flush()
+    return spark.read.parquet(folder)

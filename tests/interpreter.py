@@ -6,13 +6,13 @@ from datetime import date, datetime, timedelta
 
 
 def add_months(d, n):
-    k = d.year * 12 + d.month - 1 + n
-    y, m = divmod(k, 12)
-    for day in (d.day, 30, 29, 28):
-        try:
-            return date(y, m + 1, day) if day <= d.day else None
-        except ValueError:
-            continue
+    """The same day of a month n later, found by listing that month's days; its last day if it is too short."""
+    months = [(y, m) for y in range(d.year - 30, d.year + 31) for m in range(1, 13)]
+    y, m = months[months.index((d.year, d.month)) + n]
+    day = date(y, m, 1)
+    while day.day < d.day and (day + timedelta(days=1)).month == m:
+        day += timedelta(days=1)
+    return day
 
 
 def day_of(v):
@@ -46,20 +46,22 @@ def as_time(v):
 
 
 def shift_bounds(window, months, days):
-    """window: (lo, hi), hi inclusive: a date covers its day."""
+    """window: (lo, hi), hi inclusive: a date covers its day.
+
+    Days are listed: the window's last day is the day before the one that comes
+    next, and the earlier window ends on the day before that one's image.
+    """
+    def image(day):
+        return add_months(day, -months) - timedelta(days=days)
+
     lo, hi = window
-    if months:
-        new_lo = add_months(day_of(lo), -months)
-        if isinstance(hi, datetime):
-            # hi is inclusive to the microsecond; its day moves as the last day of a range
-            instant = hi + timedelta(microseconds=1)
-            day = add_months(instant.date() + timedelta(days=1), -months) - timedelta(days=1)
-            new_hi = datetime.combine(day, instant.time()) - timedelta(microseconds=1)
-        else:
-            new_hi = add_months(hi + timedelta(days=1), -months) - timedelta(days=1)
-        lo = datetime.combine(new_lo, lo.time()) if isinstance(lo, datetime) else new_lo
-        hi = new_hi
-    return lo - timedelta(days=days), hi - timedelta(days=days)
+    first = image(day_of(lo))
+    new_lo = datetime.combine(first, lo.time()) if isinstance(lo, datetime) else first
+    if not isinstance(hi, datetime):
+        return new_lo, image(hi + timedelta(days=1)) - timedelta(days=1)
+    instant = hi + timedelta(microseconds=1)  # the first one outside
+    on = image(instant.date() + timedelta(days=1)) - timedelta(days=1)
+    return new_lo, datetime.combine(on, instant.time()) - timedelta(microseconds=1)
 
 
 def within(v, window, low=True):

@@ -34,6 +34,16 @@ def project(tmp_path):
     return tmp_path
 
 
+def test_split_of_an_extract(project):
+    text = PROJECT.replace("{name: t1, source: {query: SELECT 1}}", "{name: t1, source: {query: SELECT 1}, extract: {split_by: id, bounds: [1, 900], parts: 3}}")
+    (project / "split.yaml").write_text(text)
+    t = load_config(project / "split.yaml").tables[0]
+    assert (t.split_by, t.bounds, t.parts, t.batch_size) == ("id", ("1", "900"), 3, 100_000)
+    (project / "split.yaml").write_text(text.replace(", bounds: [1, 900]", ""))
+    with pytest.raises(ConfigError, match="split_by"):
+        load_config(project / "split.yaml")
+
+
 class Extract:
     def __init__(self):
         self.n, self.fail, self.seen = 1, None, []
@@ -84,10 +94,88 @@ def test_mirror_publishes_whole_versions(spark, project):
     assert len(w.store.vacuum()) == 2 and w.table("t1").count() == 4
 
 
+def test_builds_side_by_side(spark, project):
+    """A build that is published while another one writes is not lost, and a lock left by a dead one is taken over."""
+    x = Extract()
+    w = Workspace(project / "plumbline.yaml", spark, extract=x)
+    w.mirror()
+
+    def slow(spec):
+        x.n = 5
+        Workspace(project / "plumbline.yaml", spark, extract=x).mirror(only=["t2"])
+        return pa.table({"d": [date(2026, 1, 1)] * 2, "k": ["b"] * 2})
+
+    w._extract = slow
+    w.mirror(only=["t1"])
+    assert w.table("t1").count() == 2 and w.table("core.t2").count() == 5
+    lock = w.store._pointer + ".lock"
+    w.store.files._system(lock).create(w.store.files._path(lock)).close()
+    with w.store.files.held(lock, patience_s=0.3):
+        assert w.store.files.exists(lock)
+    assert not w.store.files.exists(lock)
+
+
+def test_landing_survives_a_cut(spark, project):
+    w = Workspace(project / "plumbline.yaml", spark, extract=Extract())
+    w.land_stream(iter([pa.record_batch({"a": [1]})]), "cut_off")
+    spark.sql("ALTER TABLE cut_off RENAME TO cut_off__before")  # as a crash between two renames leaves it
+
+    def broken():
+        yield pa.record_batch({"a": [2, 3]})
+        raise RuntimeError("gone")
+
+    with pytest.raises(RuntimeError):
+        w.land_stream(broken(), "cut_off")
+    assert spark.table("cut_off").count() == 1
+
+
+def test_readers_without_a_project(spark, tmp_path, monkeypatch):
+    import plumbline as pl
+
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setattr(pl, "_default", None)
+    (tmp_path / "x.csv").write_text("a;b\n1;u\n2;v\n")
+    assert pl.read_csv(tmp_path / "x.csv", backend="pyarrow").to_pylist() == [{"a": 1, "b": "u"}, {"a": 2, "b": "v"}]
+    workbook(tmp_path / "x.xlsx", {"S": [["n", "m"], ["a", 1]]})
+    assert pl.read_excel(tmp_path / "x.xlsx").collect()[0]["n"] == "a"
+    with pytest.raises(ConfigError, match="land="):
+        pl.read_csv(tmp_path / "x.csv", land="t")
+
+
+def test_choices(spark):
+    from plumbline import showcase
+
+    sf = "/root/testdata/sf0.001"
+    m = showcase.bound(spark, sf, "sales")
+    flags, days = m.filter_dim("flag", label="Flag"), m.filter_date()
+    assert flags.label == "Flag" and list(flags.options) == sorted(flags.options) and flags.value == [] and days.value == (days.start, days.stop) == m.date_range()
+
+
+def test_widest_slice_is_checked(spark):
+    """Each part fits by itself, but not all of them together."""
+    from dataclasses import replace
+
+    from plumbline import showcase
+    from plumbline.errors import SemanticsError
+    from plumbline.plans.slices import BoundModel
+
+    m = showcase.bound(spark, "/root/testdata/sf0.001", "sales")
+    supplier = m.read("supplier").selectExpr("*", "parse_json('1') AS span")  # a column like any other, but none to group by
+    read = lambda t: supplier if t == "supplier" else m.read(t)
+    shared = replace(m.model.dims["supplier"].shared, attributes={"span": "span"})
+    bad = replace(m.model, dims={"supplier": replace(m.model.dims["supplier"], shared=shared)})
+    with pytest.raises(SemanticsError, match="widest"):
+        BoundModel(spark, bad, read)
+
+
 def test_commands(spark, project, capsys):
     w = Workspace(project / "plumbline.yaml", spark, extract=Extract())
     assert main(["validate"], w) == 0 and main(["mirror", "--only", "t1"], w) == 0
     assert "main.t1: 1 rows" in capsys.readouterr().out
+    assert main(["mirror", "--only", "t1", "--only", "t2"], w) == 0
+    w.mirror, made = (lambda only, keep: made.append(only) or {"tables": {}}), []
+    assert main(["mirror", "--only", "a", "--only", "b", "c"], w) == 0 and made == [["a", "b", "c"]]
+    del w.mirror
     assert main(["mirror", "--only", "zz"], w) == 2 and "error:" in capsys.readouterr().err
     assert main(["--config", str(project / "none.yaml"), "validate"]) == 2
 
@@ -162,6 +250,29 @@ class Connection:
         self.log.append("close")
 
 
+def test_push_over_jdbc(spark, tmp_path):
+    """The connection that push opens by itself: one transaction, values of every kind."""
+    from decimal import Decimal
+
+    source = Source("d", "jdbc", url=f"jdbc:derby:{tmp_path}/pushed;create=true")
+    connection = jdbc.Connection(spark, source)
+    cursor = connection.cursor()
+    cursor.execute("CREATE TABLE t (a INT, b VARCHAR(20), c DATE, d TIMESTAMP, e DECIMAL(9,2), f DOUBLE)")
+    connection.commit()
+    rows = [(1, "x", date(2026, 1, 2), datetime(2026, 1, 2, 3, 4, 5), Decimal("1.50"), 0.5), (2, None, None, None, None, None)]
+    cursor.executemany("INSERT INTO t VALUES (?, ?, ?, ?, ?, ?)", rows)
+    connection.rollback()
+    cursor.execute("SELECT count(*) FROM t WHERE a > ?", [0])
+    assert cursor.fetchone() == (0,)
+    cursor.executemany("INSERT INTO t VALUES (?, ?, ?, ?, ?, ?)", rows)
+    connection.commit()
+    connection.close()
+    got = jdbc.read_query(spark, source, "SELECT * FROM t").orderBy("A").collect()
+    assert tuple(got[0])[:3] == rows[0][:3] and got[0]["E"] == Decimal("1.50") and got[1]["B"] is None
+    with pytest.raises(SourceError, match="reached"):
+        jdbc.Connection(spark, Source("n", "jdbc", url="jdbc:nothing:here"))
+
+
 def test_push(spark, project):
     c = Connection()
     w = Workspace(project / "plumbline.yaml", spark, extract=Extract(), connect=lambda source: c)
@@ -240,7 +351,10 @@ def test_xlsx(spark, tmp_path, project):
     assert t.to_pylist() == [{"UR": "a", "Referral Date": date(2026, 5, 1), "col_2": 1.0, "Days": "1,234"}, {"UR": "b", "Referral Date": date(2026, 5, 2), "col_2": 2.5, "Days": "8"}]
     assert xlsx.read_sheet(path, "Notes", header=[0, 1]).column_names == ["x A", "x B"]
     assert xlsx.read_sheet(path, 1, header=None, skip_rows=2).to_pylist() == [{"col_0": True, "col_1": 1.0}]
+    assert xlsx.read_sheet(path, "Notes", header=(1, 0)).column_names == ["x A", "x B"]
     assert xlsx.column_names([["a", "a", None]], 3) == ["a", "a_2", "col_2"]
+    assert xlsx.column_names([["g", None, "h", None], ["", "t", None, None], ["a", "b", "b", "b"]], 5) == ["g a", "g t b", "h t b", "h t b_2", "col_4"]
+    assert xlsx.column_names([], 2) == ["col_0", "col_1"]
     for bad in ({"sheet": "No"}, {"sheet": 7}, {"header": 99}):
         with pytest.raises(SourceError):
             xlsx.read_sheet(path, **bad)
