@@ -24,7 +24,8 @@ def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace_entities(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The key is the session's secret: plumbline.surrogates.key."""
+    return surrogates.replace_entities(_table(spark, sf_dir, "documents").select("doc_id", "text"), key=spark.conf.get("plumbline.surrogates.key", "change-me"))
 
 
 def op4_line_block_html(spark: SparkSession, sf_dir: str) -> DataFrame:
