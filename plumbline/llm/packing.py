@@ -69,18 +69,26 @@ def plan(sizes: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
     order = np.argsort(rest, kind="stable")
     begin = np.searchsorted(rest[order], np.arange(window + 2))
     piles = {int(n): order[begin[n] : begin[n + 1]].tolist()[::-1] for n in np.flatnonzero(histogram)}
-    combos = combinations(np.flatnonzero(histogram), window)
-    counts = solve(combos, histogram)
-    for least in (0.5, 0.0):  # rounded counts first, then one more of what was rounded to nothing
-        for k in np.argsort(-counts, kind="stable"):
-            if counts[k] <= least:
-                break
-            parts = [int(n) for n in combos[k] if n]
-            for _ in range(max(1, round(counts[k]))):
-                if any(len(piles[n]) < parts.count(n) for n in parts):
-                    break
-                docs = [(piles[n].pop(), n) for n in parts]
-                out.append([(int(d), int(sizes[d] - n), n) for d, n in docs])
+
+    def carry_out(combo: np.ndarray, times: int) -> int:
+        """Windows made of a combination: as many as asked for, or as the piles allow."""
+        parts = [int(n) for n in combo if n]
+        for k in range(times):
+            if any(len(piles[n]) < parts.count(n) for n in parts):
+                return k
+            out.append([(int(d), int(sizes[d] - n), n) for d, n in [(piles[n].pop(), n) for n in parts]])
+            np.subtract.at(histogram, parts, 1)
+        return times
+
+    while True:  # solve, round, and solve again for what is left, until nothing rounds to a window
+        combos = combinations(np.flatnonzero(histogram), window)
+        counts = solve(combos, histogram)
+        order_ = np.argsort(-counts, kind="stable")
+        sure = order_[counts[order_] > 0.5]
+        if not sum(carry_out(combos[k], round(counts[k])) for k in sure):
+            break
+    for k in order_[counts[order_] > 0]:  # then one of each that the solution holds a part of
+        carry_out(combos[k], 1)
     row: list[tuple[int, int, int]] = []
     room = window
     for n in sorted(piles, reverse=True):
