@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from dataclasses import dataclass
 
@@ -14,12 +13,22 @@ from pyspark.sql import types as T
 
 from . import bytewords as B
 
-# Phrases of page furniture, in lower case.
+# Phrases of page furniture, in lower case, by language.
 BOILERPLATE = (
+    # English
     "accept cookies", "accept all", "all rights reserved", "back to top", "click here", "cookie policy", "enable javascript", "follow us on",
     "forgot your password", "javascript is disabled", "licensed under", "log in", "lorem ipsum", "newsletters", "newsletter", "next page", "previous page",
     "privacy policy", "read more", "released under the mit", "share on", "sign in", "sign up", "skip to content", "subscribe", "terms of service",
     "terms of use", "this work is licensed", "use of cookies", "uses cookies",
+    # German
+    "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "cookies akzeptieren", "datenschutzerklärung", "hier klicken", "javascript aktivieren", "jetzt anmelden", "mehr lesen",
+    "nach oben", "passwort vergessen", "verwendet cookies", "zum inhalt springen",
+    # French
+    "accepter les cookies", "cliquez ici", "conditions d'utilisation", "en savoir plus", "lire la suite", "mentions légales", "mot de passe oublié", "page suivante",
+    "politique de confidentialité", "retour en haut", "se connecter", "tous droits réservés", "utilise des cookies",
+    # Spanish
+    "aceptar cookies", "aviso legal", "condiciones de uso", "haga clic aquí", "iniciar sesión", "leer más", "política de privacidad", "saltar al contenido",
+    "todos los derechos reservados", "utiliza cookies", "volver arriba",
 )
 SYMBOLS = b"#*$%&|<>"
 ENDS = (".", "!", "?", "…", "。", "！", "？", "।", "؟", ":", ";")
@@ -59,7 +68,7 @@ def _flag(values: bytes) -> np.ndarray:
 IS_END, IS_SYMBOL, IS_UPPER, IS_LOWER = _flag(b".!?"), _flag(SYMBOLS), _flag(bytes(range(65, 91))), _flag(bytes(range(97, 123)))
 #: Last bytes of the ends and closers; the whole character is then compared.
 TAIL = tuple(x.encode() for x in (*ENDS, *CLOSERS))
-FURNITURE = re.compile("|".join(map(re.escape, BOILERPLATE)).encode(), re.IGNORECASE)
+FURNITURE = tuple(x.encode() for x in BOILERPLATE)
 
 
 def _joins(raw: bytes, at: int) -> bool:
@@ -137,20 +146,26 @@ def judge(data: np.ndarray, off: np.ndarray, rules: Rules) -> dict[str, np.ndarr
     fails |= ~ended
     bars = of_line(data == ord("|"))
     fails |= (bars >= rules.least_bars) & (bars * rules.words_per_bar >= words)
-    # one word for most of a long line: the commonest word is the median of the sorted hashes if it has over half of them
-    for i in np.flatnonzero((words >= 8) & ~fails):
+    # One word for most of a long line: it then stands twice within three words somewhere.  Of such lines' sorted
+    # hashes the median is the commonest word, if one has over half of them.
+    near = np.zeros(len(h), bool)
+    near[:-1] = h[:-1] == h[1:]
+    near[:-2] |= h[:-2] == h[2:]
+    near = _sums(near)
+    for i in np.flatnonzero((words >= 8) & ~fails & (near[w_hi] > near[w_lo])):
         own = h[w_lo[i] : w_hi[i]]
         if (own == np.partition(own, len(own) // 2)[len(own) // 2]).sum() > rules.most_one_word * len(own):
             fails[i] = True
-    raw = data.tobytes()
-    m = FURNITURE.search(raw)
-    while m:
-        i = np.searchsorted(lo, m.start(), "right") - 1
-        # the texts stand without a gap: a line's ends are word borders
-        whole = m.end() <= hi[i] and not (m.start() > lo[i] and _joins(raw, m.start() - 1)) and not (m.end() < hi[i] and _joins(raw, m.end()))
-        if whole and words[i] <= rules.furniture_words:
-            fails[i] = True
-        m = FURNITURE.search(raw, m.end() if whole else m.start() + 1)
+    raw = data.tobytes().lower()  # A-Z alone
+    for phrase in FURNITURE:
+        at = raw.find(phrase)
+        while at >= 0:
+            i, end = np.searchsorted(lo, at, "right") - 1, at + len(phrase)
+            # the texts stand without a gap: a line's ends are word borders
+            whole = end <= hi[i] and not (at > lo[i] and _joins(raw, at - 1)) and not (end < hi[i] and _joins(raw, end))
+            if whole and words[i] <= rules.furniture_words:
+                fails[i] = True
+            at = raw.find(phrase, at + 1)
     fails &= words > 0
     lost = np.bincount(line_owner[fails], line_chars[fails], len(off) - 1)
     base_failed = (n_words < rules.least_words) | (n_repeat > rules.most_repeat * n_words)

@@ -149,6 +149,9 @@ def test_verdicts_as_brute_force(table):
         ("Please \u201clog in\u201d first.", 8),
         ("A blog in which you log in.", 8),
         ("Get our newsletters.", 8),
+        ("Alle Rechte vorbehalten.", 8),
+        ("Politique de confidentialité.", 8),
+        ("Es importante leer más.", 8),
     ],
 )
 def test_furniture_between_word_borders(table, line, left):
