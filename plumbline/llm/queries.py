@@ -83,7 +83,35 @@ QUERIES = {
     )
 }
 
+_PHRASES = "|".join(x.replace("'", "''") for x in linerules.BOILERPLATE)
+
 ORACLES: dict[str, str] = {
+    "op7_line_first_quality": rf"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+run AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS r FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM doc WHERE len(w) >= 3)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, r) AS n FROM run) WHERE n > 1),
+repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM again) GROUP BY doc_id),
+line AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS x FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM doc)),
+worded AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM line WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+most AS (SELECT doc_id, pos, max(n) AS top, coalesce(sum(n) FILTER (WHERE regexp_matches(v, '[.!?]$')), 0) AS inner_ends FROM (SELECT doc_id, pos, v, count(*) AS n FROM (SELECT doc_id, pos, unnest(w) AS v FROM worded) GROUP BY ALL) GROUP BY ALL),
+measured AS (
+  SELECT doc_id, x, len(w) AS n, length(array_to_string(w, '')) AS chars, top,
+         length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS symbols, length(regexp_replace(x, '[^|]', '', 'g')) AS bars,
+         length(regexp_replace(x, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(x, '[^a-z]', '', 'g')) AS lower,
+         regexp_matches(w[len(w)], '[.!?…。！？।؟:;"'')\]}}”’»›」』）]$') AS ended, inner_ends,
+         regexp_matches(low, '(^|[^\p{{L}}\p{{N}}\p{{M}}_])({_PHRASES})([^\p{{L}}\p{{N}}\p{{M}}_]|$)') AS furniture
+  FROM worded JOIN most USING (doc_id, pos)),
+judged AS (SELECT *, 10 * symbols > chars OR (n >= 4 AND 10 * upper > 7 * greatest(upper + lower, 1)) OR NOT (ended OR (n >= 12 AND inner_ends * 60 >= n)) OR (bars >= 3 AND bars * 8 >= n)
+                  OR (n >= 8 AND 2 * top > n) OR (n <= 16 AND furniture) AS fails FROM measured),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup, coalesce(sum(chars) FILTER (WHERE fails), 0) AS lost FROM judged GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(n_dup, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, coalesce(lost, 0) AS lost
+  FROM doc LEFT JOIN repeated USING (doc_id) LEFT JOIN lines USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * lost <= word_chars AS kept
+FROM counted
+""",
     "op5_benchmark_decontamination": r"""
 WITH word AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 item AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
