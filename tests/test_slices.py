@@ -1,12 +1,15 @@
 """Slices against the interpreter: random requests, and the edges by hand."""
 
 import random
+import re
 from datetime import date, datetime, timedelta
 
 import interpreter
 import pytest
 
 from plumbline.errors import SemanticsError
+from plumbline.functions import calendar as cal
+from plumbline.operators.partials import taken_apart
 from plumbline.plans.modelload import models_from
 from plumbline.plans.scope import Between, Scope, all_, last, not_
 from plumbline.plans.slices import BoundModel
@@ -227,6 +230,32 @@ def test_context_literal_stays_in_filters_and_pushes_down(spark, tmp_path):
     assert all("Filter" in line or "FileScan" in line or "Pushed" in line for line in text.splitlines() if "canary" in line)
 
 
+def test_year_to_date_begins_its_scan_with_the_fiscal_year(spark, tmp_path):
+    rows = make_rows(random.Random(2), False, False)
+    bound(spark, rows).read("f").write.parquet(str(tmp_path / "f"))
+    m = BoundModel(spark, model(), lambda t: spark.read.parquet(str(tmp_path / t)), check=False)
+    s = m.slice(["n", "total", "keys"], by="c", context={"time": ("2026-02-10", "2026-03-05")}, grain="month", compare="fytd")
+    scans = re.findall(r"PushedFilters: \[([^\]]*)\]", s.df._jdf.queryExecution().executedPlan().toString())
+    assert scans and all("GreaterThanOrEqual(d," in x and "LessThan(d,2026-03-06)" in x for x in scans)
+    first = cal.period_start("fy", date(2026, 2, 1), m.model.fiscal_start)
+    assert any(f"GreaterThanOrEqual(d,{first})" in x for x in scans) and "NestedLoop" not in s.plan_text
+
+
+@pytest.mark.parametrize(
+    "text, template, pieces",
+    [
+        ("count(*)", "_0", ["count(*)"]),
+        ("CASE WHEN Count(a) = count(*) THEN sum( cast(x as decimal(9,2)) ) end", "CASE WHEN _0 = _1 THEN _2 end", ["count(a)", "count(*)", "sum(cast(x as decimal(9,2)))"]),
+        ("sum(v) FILTER (WHERE c = 'max(x) or )') / nullif(count(distinct k) filter (where k > 1), 0)", "_0 / nullif(_1, 0)", ["sum(v) FILTER (WHERE c = 'max(x) or )')", "count(distinct k) FILTER (WHERE k > 1)"]),
+        ("sum(v) + sum(v)", "_0 + _0", ["sum(v)"]),
+        ("median(v)", None, None), ("sum(v) / avg(v)", None, None), ("count(distinct a, b)", None, None), ("sum(distinct v)", None, None), ("max(v) + v", None, None), ("mode(v, true)", None, None),
+    ],
+)
+def test_aggregates_are_taken_apart(text, template, pieces):
+    found = taken_apart(text, "_")
+    assert (None if found is None else (found[0], [p.text for p in found[1]])) == (None if template is None else (template, pieces))
+
+
 @pytest.mark.parametrize("expr, say", [("v + 1", "no aggregate"), ("sum(nosuch)", "does not fit"), ("sum(f.v)", "columns of the fact alone"), ("count(", "no SQL"), ("sum(v) + (select max(w) from other)", "subquery")])
 def test_bind_checks(spark, expr, say):
     m = model(measures={"x": {"expr": expr, "description": "d"}})
