@@ -49,6 +49,7 @@ class Workspace:
     def mirror(self, only: Iterable[str] | None = None, keep_staging: bool = False) -> dict[str, Any]:
         """Build and publish a new version of the mirrored tables."""
         out = self.store.build(self.config.tables, self._extract, only, keep_staging)
+        self.store.register()
         self._bound.clear()
         return out
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+import warnings
 from collections.abc import Callable, Iterable
 from contextlib import contextmanager
 from datetime import datetime, timezone
@@ -167,6 +168,28 @@ class Store:
             "description": spec.description,
         }
 
+    def register(self) -> list[str]:
+        """Name the tables of mode native in the session's catalog, with their descriptions, over the published files.
+
+        Their columns and comments can then be asked for in SQL.  A name is dropped
+        and made again, which is no one step; slices read the files of their version.
+        A table of that name that lies elsewhere is never touched.
+        """
+        named = []
+        for name, entry in sorted(self.manifest()["tables"].items()):
+            if entry["mode"] == "native":
+                qualified = f"`{entry['schema_name']}`.`{entry['table_name']}`"
+                self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{entry['schema_name']}`")
+                if self.spark.catalog.tableExists(qualified):
+                    told = self.spark.sql(f"DESCRIBE TABLE EXTENDED {qualified}").where("col_name = 'Location'").first()
+                    if told is None or self.root.removeprefix("file:").lstrip("/") not in told["data_type"]:
+                        warnings.warn(f"the catalog has a table {name} that is not this mirror's - it was left alone", stacklevel=2)
+                        continue
+                    self.spark.sql(f"DROP TABLE {qualified}")
+                self.spark.catalog.createTable(qualified, entry["path"], "parquet", description=entry["description"] or None)
+                named.append(name)
+        return named
+
     def vacuum(self) -> list[str]:
         """Delete the folders of versions that the manifest no longer points at."""
         used = {e["path"] for e in self.manifest()["tables"].values()}

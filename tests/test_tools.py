@@ -20,8 +20,8 @@ sources: {db: {server: 'localhost,1433', database: D, auth: {user: sa, password_
 destination: {path: store}
 push: {allow: [Sand.dbo]}
 tables:
-  - {name: t1, source: {query: SELECT 1}}
-  - {name: t2, schema: core, compression: snappy, source: {database: D, schema: dbo, table: T2}}
+  - {name: t1, source: {query: SELECT 1}, description: The first.}
+  - {name: t2, schema: core, mode: parquet, compression: snappy, source: {database: D, schema: dbo, table: T2}}
 semantics: {dir: models, fiscal_year_start: 7}
 """
 
@@ -35,7 +35,7 @@ def project(tmp_path):
 
 
 def test_split_of_an_extract(project):
-    text = PROJECT.replace("{name: t1, source: {query: SELECT 1}}", "{name: t1, source: {query: SELECT 1}, extract: {split_by: id, bounds: [1, 900], parts: 3}}")
+    text = PROJECT.replace("{name: t1, source: {query: SELECT 1}, description: The first.}", "{name: t1, source: {query: SELECT 1}, extract: {split_by: id, bounds: [1, 900], parts: 3}}")
     (project / "split.yaml").write_text(text)
     t = load_config(project / "split.yaml").tables[0]
     assert (t.split_by, t.bounds, t.parts, t.batch_size) == ("id", ("1", "900"), 3, 100_000)
@@ -75,8 +75,11 @@ def test_mirror_publishes_whole_versions(spark, project):
     w = Workspace(project / "plumbline.yaml", spark, extract=x)
     with pytest.raises(PlumbError, match="nothing is mirrored"):
         w.freshness()
+    spark.sql("CREATE DATABASE IF NOT EXISTS main")
+    spark.sql("DROP TABLE IF EXISTS main.t1")
     w.mirror()
     assert w.table("t1").count() == 1 and [r["row_count"] for r in w.freshness().collect()] == [1, 1]
+    assert w.store.register() == ["main.t1"] and spark.table("main.t1").count() == 1 and spark.sql("DESCRIBE TABLE EXTENDED main.t1").where("col_name = 'Comment'").first()["data_type"] == "The first."
     old = w.model("m").slice("n")
     x.n, x.fail = 3, "t2"
     with pytest.raises(SourceError, match="not changed"):
@@ -94,6 +97,19 @@ def test_mirror_publishes_whole_versions(spark, project):
     assert len(w.store.vacuum()) == 2 and w.table("t1").count() == 4
 
 
+def test_tables_of_others_stay(spark, project):
+    w = Workspace(project / "plumbline.yaml", spark, extract=Extract())
+    spark.sql("CREATE DATABASE IF NOT EXISTS main")
+    spark.sql("DROP TABLE IF EXISTS main.t1")
+    spark.range(7).write.saveAsTable("main.t1")
+    with pytest.warns(UserWarning, match="left alone"):
+        w.mirror()
+    assert spark.table("main.t1").count() == 7 and w.table("t1").count() == 1
+    spark.sql("DROP TABLE main.t1")
+    w.mirror()
+    assert spark.table("main.t1").count() == 1
+
+
 def test_builds_side_by_side(spark, project):
     """A build that is published while another one writes is not lost, and a lock left by a dead one is taken over."""
     x = Extract()
